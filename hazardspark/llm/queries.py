@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module; each module has ``query(spark, sf_dir)`` and may have ``ORACLE_SQL``.
 MODULES = {
     "op3_byte_bpe": "byte_bpe",
+    "op6_warc": "warc",
     "op9_best_fit_packing": "packing",
 }
 
