@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module; each module has ``query(spark, sf_dir)`` and may have ``ORACLE_SQL``.
 MODULES = {
+    "op1_document_fingerprints": "fingerprints",
     "op2_exact_topk_search": "topk",
     "op3_byte_bpe": "byte_bpe",
     "op6_warc": "warc",
