@@ -13,6 +13,7 @@ MODULES = {
     "op6_warc": "warc",
     "op7_quality_classifier": "quality",
     "op9_best_fit_packing": "packing",
+    "op10_suffix_dedup": "suffixes",
 }
 
 
