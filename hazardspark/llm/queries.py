@@ -10,6 +10,7 @@ MODULES = {
     "op2_exact_topk_search": "topk",
     "op3_byte_bpe": "byte_bpe",
     "op4_chat_perspectives": "chat",
+    "op5_ngram_jaccard_join": "jaccard",
     "op6_warc": "warc",
     "op7_quality_classifier": "quality",
     "op9_best_fit_packing": "packing",
