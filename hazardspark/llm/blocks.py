@@ -36,9 +36,9 @@ def block_of(key: Column, splitters: list[int]) -> Column:
     return F.when(key.isNull(), F.lit(len(splitters))).otherwise(found)
 
 
-def with_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """doc_id, text (null: empty) and block: ranges of doc_id, ascending."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+def with_blocks(docs: DataFrame, size: int = BLOCK, carried: list[str] = ()) -> DataFrame:
+    """doc_id, text (null: empty), the carried columns, and block: ranges of doc_id, ascending."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *carried)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // size))
     splitters: list[int] = []

@@ -208,12 +208,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([r.text for r in rows], [int(r.label) for r in rows])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with the columns score and predicted."""
+def score(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with the score and the label predicted, in two columns that replace any of these names."""
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
-    rest = [i for i, c in enumerate(docs.columns) if c not in ("score", "predicted")]
+    rest = [i for i, c in enumerate(docs.columns) if c not in into]
     names = [docs.columns[i] for i in rest]
-    schema = docs.select(*names).withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
+    schema = docs.select(*names).withColumn(into[0], F.lit(0.0)).withColumn(into[1], F.lit(0)).schema
 
     def run(batches):
         m = sent.value
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             else:
                 z = _forward(np.stack([reader.pooled(t) for t in texts]).astype(np.float64), m.layers)[1] / m.temperature
                 p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*names, *into])
 
     return docs.mapInArrow(run, schema)
 

@@ -13,6 +13,7 @@ MODULES = {
     "op5_ngram_jaccard_join": "jaccard",
     "op6_warc": "warc",
     "op7_quality_classifier": "quality",
+    "op8_lm_scoring": "lm",
     "op9_best_fit_packing": "packing",
     "op10_suffix_dedup": "suffixes",
 }

@@ -84,7 +84,7 @@ class Block:
         ids = [blocks.MOST if x is None else x for x in rows.column("doc_id").to_pylist()]
         texts = [x.encode() for x in rows.column("text").to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        self.shown = rows.column("doc_id").take(pa.array(order, pa.int64()))
+        self.rows = rows.take(pa.array(order, pa.int64()))
         self.ids = [ids[i] for i in order]
         first: dict[bytes, int] = {}
         self.owner = []  # of each row, the row with the same text that comes first
@@ -161,14 +161,45 @@ class Block:
         order = np.argsort(s, kind="stable")  # documents come in order already
         return d[order], p[order], s[order]
 
+    def kept(self, docs: np.ndarray, places: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """Bytes removed, spans and what is kept of each row, given the windows that go."""
+        order = np.lexsort((places, docs))
+        docs, places = docs[order], places[order]
+        edges = np.searchsorted(docs, np.arange(len(self.texts) + 1))
+        out: list[tuple[int, int, bytes]] = []
+        for n, content in enumerate(self.texts):
+            first, at = self.owner[n], places[edges[n] : edges[n + 1]]
+            if first != n:
+                whole = len(content) >= LENGTH and self.ids[n] > self.ids[first]
+                out.append((len(content), 1, b"") if whole else out[first])
+            elif not len(at):
+                out.append((0, 0, content))
+            else:
+                new = np.concatenate([[True], at[1:] > at[:-1] + LENGTH])
+                begin, end = at[new], np.append(at[:-1][new[1:]], at[-1]) + LENGTH
+                parts = [content[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(content)], strict=True)]
+                out.append((int((end - begin).sum()), len(begin), b"".join(parts)))
+        return out
+
 
 def _starts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
 
 
-def remove_repeats(docs: DataFrame, text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``text`` also what is kept."""
-    base = blocks.with_blocks(docs)
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
+    return _removed(docs, OUT, _digests)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with what is kept of each text; of a character cut in parts nothing stays."""
+    schema = docs.select("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))).schema
+    return _removed(docs, schema, _texts).select(docs.columns)
+
+
+def _removed(docs: DataFrame, schema, results) -> DataFrame:
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")] if results is _texts else []
+    base = blocks.with_blocks(docs, carried=carried)
     count = blocks.buckets(docs)
     grouped = base.groupBy("block")
 
@@ -183,7 +214,7 @@ def remove_repeats(docs: DataFrame, text: bool = False) -> DataFrame:
 
     def third(rows: pa.Table, found: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.Table.from_batches([], schema=_schema(text))
+            return results(held := Block(rows), held.kept(np.empty(0, np.int32), np.empty(0, np.int64)))
         held = Block(rows)
         kind = found.column("round").to_numpy()
         docs_of, places, keys = held.suffixes(blocks.answers(found.filter(pa.array(kind == 1)), "u1"))
@@ -193,49 +224,29 @@ def remove_repeats(docs: DataFrame, text: bool = False) -> DataFrame:
         ids = np.array(held.ids)
         least = np.repeat(ids[docs_of[starts]], sizes)
         hit = before | (ids[docs_of] > least)
-        return _results(held, docs_of[hit], places[hit], text)
+        return results(held, held.kept(docs_of[hit], places[hit]))
 
     one = grouped.applyInArrow(first, blocks.SENT).groupBy("bucket").applyInArrow(lambda r: blocks.meet(r, blocks.how_many, "u1", 6), blocks.SENT)
     two = grouped.cogroup(one.groupBy("block")).applyInArrow(second, blocks.SENT)
     two = two.groupBy("bucket").applyInArrow(lambda r: blocks.meet(r, blocks.in_smaller, "?"), blocks.SENT)
     both = one.withColumn("round", F.lit(1)).unionByName(two.withColumn("round", F.lit(2)))
-    return grouped.cogroup(both.groupBy("block")).applyInArrow(third, OUT + ", kept string" * text)
-
-
-def _schema(text: bool) -> pa.Schema:
-    return pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if text else [])])
-
-
-def _results(held: Block, docs: np.ndarray, places: np.ndarray, text: bool) -> pa.Table:
-    order = np.lexsort((places, docs))
-    docs, places = docs[order], places[order]
-    edges = np.searchsorted(docs, np.arange(len(held.texts) + 1))
-    rows, cache = [], {}
-    for n, content in enumerate(held.texts):
-        o, size = held.owner[n], len(content)
-        if o != n and size >= LENGTH and held.ids[n] > held.ids[o]:
-            got = (size, 1, b"")
-        elif o in cache:
-            got = cache[o]
-        else:
-            at = places[edges[n] : edges[n + 1]]
-            if not len(at):
-                got = (0, 0, content)
-            else:
-                new = np.concatenate([[True], at[1:] > at[:-1] + LENGTH])
-                begin, end = at[new], np.append(at[:-1][new[1:]], at[-1]) + LENGTH
-                kept, last = [], 0
-                for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-                    kept.append(content[last:a])
-                    last = b
-                kept.append(content[last:])
-                got = (int((end - begin).sum()), len(begin), b"".join(kept))
-            if o == n:
-                cache[n] = got
-        row = (held.shown[n].as_py(), size, got[0], got[1], hashlib.sha256(got[2]).hexdigest())
-        rows.append((*row, got[2].decode("utf-8", "ignore")) if text else row)
-    schema = _schema(text)
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+    return grouped.cogroup(both.groupBy("block")).applyInArrow(third, schema)
+
+
+def _digests(held: Block, kept: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table({
+        "doc_id": held.rows.column("doc_id"),
+        "n_bytes": pa.array([len(t) for t in held.texts], pa.int64()),
+        "n_removed": pa.array([k[0] for k in kept], pa.int64()),
+        "n_spans": pa.array([k[1] for k in kept], pa.int64()),
+        "kept_sha256": pa.array([hashlib.sha256(k[2]).hexdigest() for k in kept], pa.string()),
+    })
+
+
+def _texts(held: Block, kept: list[tuple[int, int, bytes]]) -> pa.Table:
+    at = held.rows.schema.get_field_index("text")
+    rows = held.rows.set_column(at, "text", pa.array([k[2].decode("utf-8", "ignore") for k in kept], pa.string()))
+    return rows.drop_columns(["block"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

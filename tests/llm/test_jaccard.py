@@ -58,7 +58,7 @@ def corpus(seed, groups=12, copies=14):
 @pytest.mark.parametrize("seed,size,short,chunk", [(1, 8 << 20, 12, 256), (2, 9000, 3, 5)])
 def test_equals_brute_force(spark, monkeypatch, seed, size, short, chunk):
     cut = j.blocks.with_blocks
-    monkeypatch.setattr(j.blocks, "with_blocks", lambda d: cut(d, size))
+    monkeypatch.setattr(j.blocks, "with_blocks", lambda d, carried=(): cut(d, size, carried))
     monkeypatch.setattr(j, "SHORT", short)
     monkeypatch.setattr(j, "CHUNK", chunk)
     monkeypatch.setattr(j, "ROUNDS", 1 if seed == 2 else 3)

@@ -43,7 +43,7 @@ def rows():
 def test_equals_brute_force(spark, monkeypatch, size, stretch):
     monkeypatch.setattr(suffixes, "STRETCH", stretch)
     cut = blocks.with_blocks
-    monkeypatch.setattr(blocks, "with_blocks", lambda d: cut(d, size))
+    monkeypatch.setattr(blocks, "with_blocks", lambda d, carried=(): cut(d, size, carried))
     docs = spark.createDataFrame(rows(), "doc_id long, text string").selectExpr("*", "1 AS block", "2 AS bucket")
     got = suffixes.remove_repeats(docs)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows())
@@ -52,8 +52,10 @@ def test_equals_brute_force(spark, monkeypatch, size, stretch):
 
 def test_kept_text(spark):
     passage = "a passage of some length that stands in both of these documents here"
-    docs = spark.createDataFrame([(1, f"one {passage} x"), (2, f"two {passage} y")], "doc_id long, text string")
-    assert {r.doc_id: r.kept for r in suffixes.remove_repeats(docs, text=True).collect()} == {1: f"one {passage} x", 2: "twoy"}
+    docs = spark.createDataFrame([(1, f"one {passage} x"), (2, f"two {passage} y")], "doc_id long, text string").selectExpr("7 AS n_chars", "*", "'a' AS lang")
+    got = suffixes.without_repeats(docs)
+    assert got.columns == docs.columns
+    assert {r.doc_id: r.text for r in got.collect()} == {1: f"one {passage} x", 2: "twoy"}
 
 
 def test_block_of(spark):
