@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "w1_w5_history_features"
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return {}
+from hazardspark.plans import queries_climate, queries_events, queries_model
+
+FLAGSHIP = "w1_w6_history_features"
+_PARTS = (queries_events, queries_climate, queries_model)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for part in _PARTS for name, (query, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, (_, sql) in part.QUERIES.items() if sql}
