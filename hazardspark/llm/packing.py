@@ -16,11 +16,14 @@ packed like any other; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,25 +31,117 @@ from tokenizers import Tokenizer
 from hazardspark.llm.common import materialize, slices, table
 
 LIMIT, END, GROUP = 2048, 0, 50_000
-REMEMBERED, STRETCH = 300_000, 4_000_000
+REMEMBERED, STRETCH = 500_000, 4_000_000
+
+
+def _byte_names() -> list[str]:
+    """The character by which a byte-level vocabulary writes each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+class Merges:
+    """The vocabulary's merges over many short units at once."""
+
+    LONGEST = 64
+
+    def __init__(self, content: str):
+        model = json.loads(content)["model"]
+        vocabulary, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        self.inner = np.array([vocabulary[c] for c in _byte_names()], np.int64)
+        self.final = np.array([vocabulary[c + suffix] for c in _byte_names()], np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([vocabulary[x] << 32 | vocabulary[y] for x, y in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order
+        self.makes = np.array([vocabulary[x + y] for x, y in pairs], np.int64)[order]
+
+    def encode(self, units: list[bytes]) -> list[bytes]:
+        """Each unit's ids: time and again, every unit's leftmost pair of least rank is merged."""
+        sizes = np.array([len(u) for u in units])
+        raw = np.frombuffer(b"".join(units), np.uint8)
+        token, owner = self.inner[raw], np.repeat(np.arange(len(units)), sizes)
+        ends = np.cumsum(sizes) - 1
+        token[ends] = self.final[raw[ends]]
+        tokens, owners = [], []
+        none = len(self.keys)
+
+        def look(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rank of the pair that begins at each place, and what it makes."""
+            at1 = np.minimum(at + 1, len(token) - 1)
+            key = token[at] << 32 | token[at1]
+            found = np.minimum(np.searchsorted(self.keys, key), none - 1)
+            hit = (self.keys[found] == key) & (owner[at] == owner[at1]) & (at1 > at)
+            return np.where(hit, self.ranks[found], none), self.makes[found]
+
+        rank, makes = look(np.arange(len(token)))
+        while len(token):
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            best = np.minimum.reduceat(rank * len(token) + np.arange(len(token)), starts)
+            open_ = best < none * len(token)
+            rows = np.repeat(open_, np.diff(np.append(starts, len(token))))
+            tokens.append(token[~rows])
+            owners.append(owner[~rows])
+            left = best[open_] % len(token)
+            token[left] = makes[left]
+            rows[left + 1] = False
+            at = (np.cumsum(rows) - 1)[left]
+            token, owner, rank, makes = token[rows], owner[rows], rank[rows], makes[rows]
+            touched = np.concatenate([at, np.maximum(at - 1, 0)])
+            if len(touched):
+                rank[touched], makes[touched] = look(touched)
+        token, owner = np.concatenate(tokens), np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        packed = token[order].astype("<u4").tobytes()
+        cuts = (4 * np.cumsum(np.bincount(owner, minlength=len(units)))).tolist()
+        return [packed[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 class Encoder:
-    """The library's ids as little-endian 32-bit words; a blank or line end always parts words."""
+    """The ids of the tokenizers library as little-endian 32-bit words.
+
+    A blank or line end always parts words, so distinct words are encoded once. Printable
+    words of Latin letters take the vectorised merges, all others the library itself.
+    """
 
     def __init__(self, content: str):
         self.tokenizer = Tokenizer.from_str(content)
+        self.merges = Merges(content)
+        self.units = regex.compile(json.loads(content)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.known: dict[str, bytes] = {}
 
+    def _units(self, word: str) -> list[str]:
+        """The units of a plain word in lower case."""
+        if word.isalpha():
+            return [word]
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.units(word)
+
+    def _plain(self, word: str) -> bool:
+        return len(word) <= Merges.LONGEST // 2 and (word.isascii() or max(word) < "\u0100") and word.isprintable() and "<|" not in word
+
+    def _learn(self, words: set[str]) -> None:
+        units, rest, seen = {}, [], {}
+        for word in words:
+            if word and self._plain(word):
+                units[word] = found = self._units(word.lower())
+                seen.update(dict.fromkeys(found))
+            else:
+                rest.append(word)
+        made = dict(zip(seen, self.merges.encode([u.encode() for u in seen]), strict=True)) if seen else {}
+        for word, found in units.items():
+            self.known[word] = made[found[0]] if len(found) == 1 else b"".join(map(made.__getitem__, found))
+        for word, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(got.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         words = [text.replace("\n", " ").split(" ") for text in texts]
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        self._learn(set(chain.from_iterable(words)).difference(self.known))
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
 
 _built: dict = {}

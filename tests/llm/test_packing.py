@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -50,3 +51,16 @@ def test_ids_are_those_of_the_library(spark):
             at += length
         assert at <= 2048
     assert packing.pack(packing.pieces(docs.limit(0))).count() == 0
+
+
+def test_merges_equal_the_library():
+    rng = random.Random(6)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    library = Tokenizer.from_file(path)
+    alphabet = [*"abcdehinorst" * 6, *map(chr, range(33, 127)), *map(chr, range(160, 256)), "ā", "日", "\t", "\x1c", "İ"]
+    words = ["".join(rng.choices(alphabet, k=rng.randint(1, 30))) for _ in range(6000)] + ["aaaa" * 7, "they'll", "it's", "x" * 400, "ªº²½µßÿ"]
+    got = encoder.encode([" ".join(words[i : i + 50]) for i in range(0, len(words), 50)])
+    for i, ids in zip(range(0, len(words), 50), got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(" ".join(words[i : i + 50]), add_special_tokens=False).ids
