@@ -8,8 +8,8 @@ k-th best score so far fall out; for the survivors the exact score is computed.
 
 Queries and candidates are dealt into blocks of about ``BLOCK_Q`` and ``BLOCK_C`` rows;
 each pair of blocks is one small group, so memory is bounded by two blocks and no row
-set is broadcast. Every group gives its k best for each query, and a last aggregation
-keeps the k best of those; what moves is rows x blocks, never pairs.
+set is broadcast. Every group gives its k best for each query, and a last window
+keeps the k best of those, before its shuffle and after; what moves is rows x blocks, never pairs.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component
 take no part, nor do rows without vec_id; of rows with the same vec_id, one counts (the
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardspark.llm.common import table
@@ -120,9 +120,8 @@ def top_k(vectors: DataFrame, queries, k: int = K, scale: int = SCALE, levels: t
 
     keys = ["bq", "bc", "width"]
     part = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(run, "query_id long, vec_id long, score long")
-    ordered = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    best = part.groupBy("query_id").agg(ordered.alias("b")).select("query_id", F.posexplode("b").alias("p", "b"))
-    return best.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # Spark keeps each task's k best before the shuffle
+    return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
