@@ -105,6 +105,8 @@ def write(pages: DataFrame, folder: str, least: int = REVISIT) -> DataFrame:
                 count += 1
         if out:
             out.close()
+            if system.get_file_info(path).type != fs.FileType.NotFound:  # of an attempt before this one
+                system.delete_file(path)
             system.move(draft, path)
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [count]})
 
