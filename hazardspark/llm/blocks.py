@@ -1,7 +1,7 @@
 """Meeting of keys between ranges of a corpus, two small shuffles instead of one large one.
 
 A corpus is cut into blocks: ranges of doc_id of about equal bytes, found from sampled
-splitters. A block's distinct keys (64-bit hashes) are sorted and sent in buckets by
+splitters; texts travel there compressed. A block's distinct keys (64-bit hashes) are sorted and sent in buckets by
 their leading bits, one binary row for each block and bucket. Where a bucket's rows
 meet, each key learns of the same key in other blocks, and the answer goes back as an
 array in the order of the keys sent. A key that a third of all documents share is sent
@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def block_of(key: Column, splitters: list[int]) -> Column:
 
 
 def with_blocks(docs: DataFrame, size: int = BLOCK, carried: list[str] = ()) -> DataFrame:
-    """doc_id, text (null: empty), the carried columns, and block: ranges of doc_id, ascending."""
+    """block and packed: doc_id, text (null: empty) and the carried columns (see ``unpack``)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *carried)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // size))
@@ -45,7 +46,34 @@ def with_blocks(docs: DataFrame, size: int = BLOCK, carried: list[str] = ()) ->
     if count > 1:
         cuts = [i / count for i in range(1, count)]
         splitters = sorted({int(x) for x in docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", cuts, 0.1 / count)})
-    return docs.withColumn("block", block_of(F.col("doc_id"), splitters).cast("int"))
+    return _packed(docs.withColumn("block", block_of(F.col("doc_id"), splitters).cast("int")))
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Each task's rows of a block as one compressed stream of Arrow batches: block, packed."""
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            numbers = batch.column("block").to_numpy()
+            order = np.argsort(numbers, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(numbers[order]) != 0])) if len(order) else []
+            out: list[tuple[int, bytes]] = []
+            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                part = batch.take(pa.array(order[a:b], pa.int64()))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=options) as stream:
+                    stream.write_batch(part)
+                out.append((int(numbers[order[a]]), sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "packed"])
+
+    return rows.mapInArrow(run, "block int, packed binary")
+
+
+def unpack(rows: pa.Table) -> pa.Table:
+    """The rows of a block: doc_id, text, the carried columns and block; none without rows."""
+    parts = [pa.ipc.open_stream(x).read_all() for x in rows.column("packed").to_pylist()]
+    return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "block": pa.array([], pa.int32())})
 
 
 def buckets(docs: DataFrame) -> int:
@@ -95,7 +123,17 @@ def in_smaller(keys: np.ndarray, blocks: np.ndarray, starts: np.ndarray) -> np.n
     return out
 
 
+def answers_of(met: pa.Table) -> list[np.ndarray]:
+    """One-byte answers of each row of a bucket."""
+    return [np.frombuffer(x, np.uint8) for x in met.column("sent").to_pylist()]
+
+
 def answers(rows: pa.Table, dtype: str) -> np.ndarray:
     """What came back for a block, in the order of its sorted keys."""
     parts = sorted(zip(rows.column("bucket").to_pylist(), rows.column("sent").to_pylist(), strict=True))
     return np.frombuffer(b"".join(p for _, p in parts), dtype)
+
+
+def answers_in(found: pa.Table, number: int, dtype: str) -> np.ndarray:
+    """``answers`` of the rows of one round."""
+    return answers(found.filter(pc.equal(found.column("round"), number)), dtype)

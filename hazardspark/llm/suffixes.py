@@ -3,14 +3,15 @@
 Every byte goes that is covered by a string of ``LENGTH`` bytes which also starts in a
 document of smaller doc_id. The suffixes that matter are found in two rounds:
 
-1. Of each string of ``LENGTH`` bytes one sample suffix is drawn by its content alone
-   (the least hash of ``RUN`` bytes, the rightmost of equals), so equal strings draw
-   suffixes at equal places. Only strings whose sample leads with bytes that another
-   document's samples lead with stay in play.
-2. The suffixes of those strings are range-partitioned by sampled splitters into
-   buckets of their leading key, sorted there and compared with their neighbours. The
-   key is a 64-bit hash of the ``LENGTH`` leading bytes: equality of prefixes is all
-   that is asked, and hashed leads keep buckets even where the text's are not.
+1. Texts that stand whole in a smaller block go at once. Of each string of ``LENGTH``
+   bytes in the others one sample suffix is drawn by its content alone (the least hash
+   of ``RUN`` bytes, the rightmost of equals), so equal strings draw suffixes at equal
+   places. Only strings whose sample leads with bytes that another text's samples lead
+   with stay in play.
+2. The suffixes of those strings are dealt into buckets, ranges of their leading key,
+   sorted there and compared with their neighbours. The key is a 64-bit hash of the
+   ``LENGTH`` leading bytes: equality of prefixes is all that is asked, and hashed leads
+   spread evenly where the text's own do not, so the ranges of keys need no sample.
 
 Documents lie in blocks (ranges of doc_id from sampled splitters), so that "in a smaller
 document" is "in a smaller block, or before it in this block": equal prefixes cross
@@ -28,15 +29,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardspark.llm import blocks
 from hazardspark.llm.common import table
 
-LENGTH, RUN, STRETCH = 50, 24, 1 << 20
+LENGTH, RUN, STRETCH, WIDTH = 50, 24, 1 << 20, 6
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _PLACES = np.uint64((1 << 26) - 1)
+_SENT = np.uint64((1 << 8 * WIDTH) - 1)
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -80,7 +84,8 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
 class Block:
     """A block's documents in ascending order, each different text once."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, packed: pa.Table, found: pa.Table | None = None):
+        rows = blocks.unpack(packed)
         ids = [blocks.MOST if x is None else x for x in rows.column("doc_id").to_pylist()]
         texts = [x.encode() for x in rows.column("text").to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
@@ -92,7 +97,12 @@ class Block:
         for n, i in enumerate(order):
             self.owner.append(first.setdefault(texts[i], n))
             self.texts.append(texts[i])
-        self.own = [n for n, o in enumerate(self.owner) if n == o and len(self.texts[n]) >= LENGTH]
+        own = [n for n, o in enumerate(self.owner) if n == o and len(self.texts[n]) >= LENGTH]
+        hashes = np.array([xxhash.xxh3_64_intdigest(self.texts[n]) for n in own], np.uint64)
+        self.whole, at = np.unique(hashes, return_inverse=True)  # keys of the texts
+        before = blocks.answers_in(found, 0, "?")[at] if found is not None and len(own) else np.zeros(len(own), bool)
+        self.copies = {n for n, gone in zip(own, before, strict=True) if gone}
+        self.own = [n for n in own if n not in self.copies]
 
     def stretches(self):
         """(document, start) of parts, and their bytes together: a part has up to STRETCH windows."""
@@ -143,15 +153,15 @@ class Block:
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         return k[starts], np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
 
-    def suffixes(self, shared_elsewhere: np.ndarray):
+    def suffixes(self, shared: np.ndarray):
         """Document, place and prefix key of the windows in play, sorted by key and document."""
-        keys, here = self.samples()
-        shared = here | (shared_elsewhere > 1)
         docs, places, prefixes = [], [], []
-        for parts in self.stretches():
+        for parts in self.stretches() if len(shared) else ():
             d, p, k, s = self.windows(parts, True)
             new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            kept = np.repeat(shared[np.searchsorted(keys, k[new])], np.diff(np.append(new, len(k))))
+            asked = k[new] & _SENT
+            hit = shared[np.minimum(np.searchsorted(shared, asked), len(shared) - 1)] == asked
+            kept = np.repeat(hit, np.diff(np.append(new, len(k))))
             docs.append(d[kept].astype(np.int32))
             places.append(p[kept])
             prefixes.append(s[kept])
@@ -169,7 +179,9 @@ class Block:
         out: list[tuple[int, int, bytes]] = []
         for n, content in enumerate(self.texts):
             first, at = self.owner[n], places[edges[n] : edges[n + 1]]
-            if first != n:
+            if n in self.copies:
+                out.append((len(content), 1, b""))
+            elif first != n:
                 whole = len(content) >= LENGTH and self.ids[n] > self.ids[first]
                 out.append((len(content), 1, b"") if whole else out[first])
             elif not len(at):
@@ -203,34 +215,71 @@ def _removed(docs: DataFrame, schema, results) -> DataFrame:
     count = blocks.buckets(docs)
     grouped = base.groupBy("block")
 
-    def first(rows: pa.Table) -> pa.Table:
-        return blocks.send(rows.column("block")[0].as_py(), Block(rows).samples()[0], count, 6)
+    def zero(rows: pa.Table) -> pa.Table:
+        return blocks.send(_number(rows), Block(rows).whole, count)
+
+    def first(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return blocks.send(0, np.empty(0, np.uint64), count, WIDTH)
+        keys, here = Block(rows, found).samples()
+        # keys that two texts of the block have go under a number below 0
+        return pa.concat_tables([blocks.send(_number(rows), keys[~here], count, WIDTH), blocks.send(~_number(rows), keys[here], count, WIDTH)])
 
     def second(rows: pa.Table, found: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return blocks.send(0, np.empty(0, np.uint64), count)
-        _, _, keys = Block(rows).suffixes(blocks.answers(found, "u1"))
-        return blocks.send(rows.column("block")[0].as_py(), keys[_starts(keys)], count)
+        _, _, keys = Block(rows, found).suffixes(_shared(found))
+        return blocks.send(_number(rows), keys[_starts(keys)], count)
 
     def third(rows: pa.Table, found: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return results(held := Block(rows), held.kept(np.empty(0, np.int32), np.empty(0, np.int64)))
-        held = Block(rows)
-        kind = found.column("round").to_numpy()
-        docs_of, places, keys = held.suffixes(blocks.answers(found.filter(pa.array(kind == 1)), "u1"))
+        held = Block(rows, found)
+        docs_of, places, keys = held.suffixes(_shared(found))
         starts = _starts(keys)
         sizes = np.diff(np.append(starts, len(keys)))
-        before = np.repeat(blocks.answers(found.filter(pa.array(kind == 2)), "?"), sizes)
+        before = np.repeat(blocks.answers_in(found, 2, "?"), sizes)
         ids = np.array(held.ids)
         least = np.repeat(ids[docs_of[starts]], sizes)
         hit = before | (ids[docs_of] > least)
         return results(held, held.kept(docs_of[hit], places[hit]))
 
-    one = grouped.applyInArrow(first, blocks.SENT).groupBy("bucket").applyInArrow(lambda r: blocks.meet(r, blocks.how_many, "u1", 6), blocks.SENT)
-    two = grouped.cogroup(one.groupBy("block")).applyInArrow(second, blocks.SENT)
-    two = two.groupBy("bucket").applyInArrow(lambda r: blocks.meet(r, blocks.in_smaller, "?"), blocks.SENT)
-    both = one.withColumn("round", F.lit(1)).unionByName(two.withColumn("round", F.lit(2)))
-    return grouped.cogroup(both.groupBy("block")).applyInArrow(third, schema)
+    def round_(rows: DataFrame, number: int) -> DataFrame:
+        return rows.withColumn("round", F.lit(number))
+
+    def smaller(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("bucket").applyInArrow(lambda r: blocks.meet(r, blocks.in_smaller, "?"), blocks.SENT)
+
+    known = round_(smaller(grouped.applyInArrow(zero, blocks.SENT)), 0)
+    one = grouped.cogroup(known.groupBy("block")).applyInArrow(first, blocks.SENT)
+    known = known.unionByName(round_(one.groupBy("bucket").applyInArrow(_met, blocks.SENT), 1))
+    two = grouped.cogroup(known.groupBy("block")).applyInArrow(second, blocks.SENT)
+    known = known.unionByName(round_(smaller(two), 2))
+    return grouped.cogroup(known.groupBy("block")).applyInArrow(third, schema)
+
+
+def _number(rows: pa.Table) -> int:
+    return rows.column("block")[0].as_py()
+
+
+def _shared(found: pa.Table) -> np.ndarray:
+    """The sorted sample keys, as sent, that a block shares."""
+    raw = np.frombuffer(b"".join(found.filter(pc.equal(found.column("round"), 1)).column("sent").to_pylist()), np.uint8).reshape(-1, WIDTH)
+    keys = np.zeros((len(raw), 8), np.uint8)
+    keys[:, :WIDTH] = raw
+    return np.sort(keys.reshape(-1).view("<u8"))
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """Of each block's sample keys, those that another block or another text has."""
+    numbers, sent = rows.column("block").to_numpy(), rows.column("sent").to_pylist()
+    met = blocks.answers_of(blocks.meet(rows, blocks.how_many, "u1", WIDTH))
+    out: dict[int, list[bytes]] = {}
+    for number, raw, many in zip(numbers.tolist(), sent, met, strict=True):
+        keys = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+        shared = keys if number < 0 else keys[many > 1]
+        if len(shared):
+            out.setdefault(max(number, ~number), []).append(shared.tobytes())
+    bucket = rows.column("bucket")[0].as_py()
+    return pa.table({"block": pa.array(list(out), pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "sent": pa.array([b"".join(v) for v in out.values()], pa.binary())})
 
 
 def _digests(held: Block, kept: list[tuple[int, int, bytes]]) -> pa.Table:
