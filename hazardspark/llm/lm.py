@@ -12,7 +12,7 @@ exploded n-grams of each block, where scores are added up for each document. Eve
 that moves is proportional to the distinct n-grams of blocks.
 
 Words are parted by white space, A-Z in lower case; n-grams are 64-bit hashes of which
-48 bits and the bucket travel.
+40 bits and the bucket travel (47 bits and more: buckets grow with the input).
 
 Defined results: null text, or one without words, has score 0 and mean null; the first
 words of a document have shorter contexts; a word that no other document has scores
@@ -26,13 +26,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hazardspark.llm import blocks
 from hazardspark.llm.common import table
 from hazardspark.llm.jaccard import REMEMBERED, _mix, _Words
 
-ORDER, ALPHA, WIDTH = 3, 0.4, 6
+ORDER, ALPHA, WIDTH, BLOCK = 3, 0.4, 5, 6 << 20
 _A = np.uint64(0x9E3779B97F4A7C15)
 OUT = "doc_id long, n_tokens long, score double, mean_score double"
 
@@ -51,7 +50,8 @@ def _wide(packed: bytes, size: int) -> np.ndarray:
 class Block:
     """A block's n-grams: for each order, of each word, the n-gram that ends there."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, packed: pa.Table):
+        rows = blocks.unpack(packed)
         self.shown = rows.column("doc_id")
         known, hashes = _Words(), []
         for text in rows.column("text").to_pylist():
@@ -80,33 +80,39 @@ class Block:
         keys, counts = np.unique(every, return_counts=True)
         return np.concatenate([[np.uint64(0)], keys]), np.concatenate([[len(self.doc)], counts])
 
-    def scores(self, keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of log scores of each document."""
+    def scores(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of log scores of each document, given the corpus' counts of ``tables``."""
         words = sums[0] - self.sizes[self.doc]
-        others = []
-        for k, gram in enumerate(self.grams):
-            at = np.flatnonzero(self.valid(k + 1))
-            left = np.zeros(len(gram), np.int64)
-            if len(at):
-                g = np.searchsorted(keys, gram[at])
-                pair = g * len(self.sizes) + self.doc[at]
-                _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
-                left[at] = sums[g] - own[back]
+        at = [np.flatnonzero(self.valid(k + 1)) for k in range(ORDER)]
+        every = np.concatenate([g[a] for g, a in zip(self.grams, at, strict=True)])
+        order = np.argsort(every, kind="stable")  # equal n-grams stay in the order of documents
+        ordered, doc = every[order], self.doc[np.concatenate(at)][order]
+        del every
+        key = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, bool)
+        pair = np.concatenate([[True], key[1:] | (doc[1:] != doc[:-1])]) if len(ordered) else key
+        own = np.diff(np.append(np.flatnonzero(pair), len(ordered)))
+        rest = np.empty(len(ordered), np.int64)
+        rest[order] = sums[1:][np.cumsum(key) - 1] - own[np.cumsum(pair) - 1]
+        others, begin = [], 0
+        for a in at:
+            left = np.zeros(len(self.doc), np.int64)
+            left[a] = rest[begin : begin + len(a)]
+            begin += len(a)
             others.append(left)
         out = np.log(ALPHA) * ORDER - np.log(words + 1.0)
         done = np.zeros(len(self.doc), bool)
-        for order in range(ORDER, 0, -1):
-            has = ~done & self.valid(order) & (others[order - 1] > 0)
-            base = words if order == 1 else np.concatenate([[0], others[order - 2][:-1]])
+        for n in range(ORDER, 0, -1):
+            has = ~done & self.valid(n) & (others[n - 1] > 0)
+            base = words if n == 1 else np.concatenate([[0], others[n - 2][:-1]])
             highest = np.minimum(self.depth + 1, ORDER)[has]
-            out[has] = np.log(ALPHA) * (highest - order) + np.log(others[order - 1][has] / base[has])
+            out[has] = np.log(ALPHA) * (highest - n) + np.log(others[n - 1][has] / base[has])
             done |= has
         return np.bincount(self.doc, out, len(self.sizes)), self.sizes
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, score (sum of natural logs), mean_score."""
-    base = blocks.with_blocks(docs)
+    base = blocks.with_blocks(docs, BLOCK)
     count = blocks.buckets(docs)
     grouped = base.groupBy("block")
 
@@ -135,9 +141,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     def second(rows: pa.Table, found: pa.Table) -> pa.Table:
         held = Block(rows)
-        keys, _ = held.tables()
         back = sorted(zip(*(found.column(c).to_pylist() for c in ("bucket", "size", "sent")), strict=True))
-        total, sizes = held.scores(keys, np.concatenate([_wide(s, n) for _, n, s in back]))
+        total, sizes = held.scores(np.concatenate([_wide(s, n) for _, n, s in back]))
         mean = pa.array(total / np.maximum(sizes, 1), mask=sizes == 0)
         return pa.table({"doc_id": held.shown, "n_tokens": pa.array(sizes, pa.int64()), "score": pa.array(total), "mean_score": mean})
 

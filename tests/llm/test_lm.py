@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from hazardspark.llm import blocks, lm
+from hazardspark.llm import lm
 
 
 def grams(words):
@@ -36,8 +36,7 @@ def brute(rows):
 
 @pytest.mark.parametrize("size", [8 << 20, 700])
 def test_equals_brute_force(spark, monkeypatch, size):
-    cut = blocks.with_blocks
-    monkeypatch.setattr(blocks, "with_blocks", lambda d, carried=(): cut(d, size, carried))
+    monkeypatch.setattr(lm, "BLOCK", size)
     rng = random.Random(9)
     words = [f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(3000)]
     rows = [(i, " ".join(words[rng.randrange(2000) :][: rng.randint(0, 40)])) for i in range(120)]
