@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -170,9 +171,13 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """A model from labelled texts; every fifth text sets the temperature."""
-    words = [t.split() for t in texts]
-    contents = Counter(content(w) for ws in words for w in ws)
-    forms = Counter(form(w) for ws in words for w in ws)
+    words = Counter(chain.from_iterable(map(str.split, texts)))
+    contents: Counter = Counter()
+    forms: Counter = Counter()
+    for word, n in words.items():
+        contents[content(word)] += n
+        forms[form(word)] += n
+    del words
     ranked = lambda c, n: [w for w, k in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n] if k > 1]
     content_names, form_names = ["", *(w for w in ranked(contents, VOCABULARY) if w)], ["", *ranked(forms, FORMS)]
     model = Model(
@@ -182,7 +187,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if len(set(labels)) < 2:
         return model
     reader = Reader(model)
-    ids = [reader.ids(ws) for ws in words]
+    ids = [reader.ids(t.split()).astype(np.int32) for t in texts]
     model.content_vectors = _context([i >> 16 for i in ids], model.content_vectors)
     model.form_vectors = _context([i & 0xFFFF for i in ids], model.form_vectors)
     x, y = np.stack([reader.pooled(t) for t in texts]).astype(np.float64), np.array(labels, float)
