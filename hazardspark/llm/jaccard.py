@@ -44,8 +44,10 @@ from hazardspark.llm.components import connected
 WORDS, NUM, DEN = 5, 75, 100
 REMEMBERED = 400_000
 #: Star rounds, the longest run whose pairs are all formed, members of a block of a long run.
-ROUNDS, SHORT, CHUNK = 3, 12, 256
+ROUNDS, SHORT, CHUNK = 2, 12, 2048
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: Odd factors, one for each word of a shingle.
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 FOUND = "kind int, doc_id long, cls long, n int, band int, need int, sig long, shingles binary"
 
 
@@ -67,10 +69,10 @@ def shingles(text: str, known: dict) -> np.ndarray:
     n = len(words)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, n)
     if n >= WORDS:
-        out = h[: n - WORDS + 1].copy()
+        out = h[: n - WORDS + 1] * _FACTORS[0]
         for i in range(1, WORDS):
-            out = _mix(out * _A + h[i : n - WORDS + 1 + i])
-        return np.unique(out)
+            out += h[i : n - WORDS + 1 + i] * _FACTORS[i]
+        return np.unique(_mix(out))
     if not n:
         return h
     out = h[:1] * _C + np.uint64(n)
@@ -80,8 +82,8 @@ def shingles(text: str, known: dict) -> np.ndarray:
 
 
 def class_of(found: np.ndarray) -> int:
-    total = np.uint64(_mix(found + _A).sum()) + np.uint64(len(found)) * _B
-    return int(_mix(np.array([total], np.uint64)).view(np.int64)[0])
+    total = _mix(found + _A).sum(keepdims=True) + np.array([len(found)], np.uint64) * _B
+    return int(_mix(total).view(np.int64)[0])
 
 
 def bands(n: int):
@@ -113,19 +115,30 @@ def signatures(found: np.ndarray):
 
 
 class Block:
-    """The different sets of a block, with their signatures."""
-
-    def __init__(self, rows: pa.Table):
+    """The different sets of a block, with their signatures.
+
+    Texts that stand in a smaller block (``found``) leave their signatures to that block.
+    """
+
+    def __init__(self, packed: pa.Table, found: pa.Table | None = None):
+        rows = blocks.unpack(packed)
+        ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
+        self.texts, at = np.unique(np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64), return_inverse=True)
+        if found is None:
+            return
+        copied = blocks.answers_in(found, 0, "?")
         self.rows, self.sets, known = [], {}, _Words()
-        for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-            if len(known) > REMEMBERED:
-                known.clear()
-            found = shingles(text, known)
-            cls = class_of(found)
-            self.rows.append((doc_id, cls, len(found)))
-            if len(found):
-                self.sets.setdefault(cls, found)
-        self.signed = [(cls, band, need, sigs) for cls, found in self.sets.items() for band, need, sigs in signatures(found)]
+        seen: dict[int, tuple[int, int]] = {}
+        for doc_id, text, k in zip(ids, texts, at.tolist(), strict=True):
+            if k not in seen:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                one = shingles(text, known)
+                seen[k] = class_of(one), len(one)
+                if len(one) and not copied[k]:
+                    self.sets.setdefault(seen[k][0], one)
+            self.rows.append((doc_id, *seen[k]))
+        self.signed = [(cls, band, need, sigs) for cls, one in self.sets.items() for band, need, sigs in signatures(one)]
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct signatures, and how many sets have each."""
@@ -140,13 +153,18 @@ def _candidates(docs: DataFrame) -> DataFrame:
     count = blocks.buckets(docs)
     grouped = base.groupBy("block")
 
-    def first(rows: pa.Table) -> pa.Table:
-        return blocks.send(rows.column("block")[0].as_py(), Block(rows).keys()[0], count, 6)
+    def zero(rows: pa.Table) -> pa.Table:
+        return blocks.send(rows.column("block")[0].as_py(), Block(rows).texts, count)
+
+    def first(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return blocks.send(0, np.empty(0, np.uint64), count, 6)
+        return blocks.send(rows.column("block")[0].as_py(), Block(rows, found).keys()[0], count, 6)
 
     def second(rows: pa.Table, found: pa.Table) -> pa.Table:
-        held = Block(rows)
+        held = Block(rows, found)
         keys, here = held.keys()
-        shared = (here > 1) | (blocks.answers(found, "u1") > 1)
+        shared = (here > 1) | (blocks.answers_in(found, 1, "u1") > 1)
         parts, out = {k: [] for k in ("cls", "n", "band", "need", "sig")}, {}
         for cls, band, need, sigs in held.signed:
             met = sigs[shared[np.searchsorted(keys, sigs)]]
@@ -167,8 +185,12 @@ def _candidates(docs: DataFrame) -> DataFrame:
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), kinds, strict=True)})
 
-    met = grouped.applyInArrow(first, blocks.SENT).groupBy("bucket").applyInArrow(lambda r: blocks.meet(r, blocks.how_many, "u1", 6), blocks.SENT)
-    return grouped.cogroup(met.groupBy("block")).applyInArrow(second, FOUND)
+    texts = grouped.applyInArrow(zero, blocks.SENT).groupBy("bucket").applyInArrow(lambda r: blocks.meet(r, blocks.in_smaller, "?"), blocks.SENT)
+    known = texts.withColumn("round", F.lit(0))
+    sent = grouped.cogroup(known.groupBy("block")).applyInArrow(first, blocks.SENT)
+    met = sent.groupBy("bucket").applyInArrow(lambda r: blocks.meet(r, blocks.how_many, "u1", 6), blocks.SENT)
+    known = known.unionByName(met.withColumn("round", F.lit(1)))
+    return grouped.cogroup(known.groupBy("block")).applyInArrow(second, FOUND)
 
 
 def _alike(a: str, b: str):
@@ -198,24 +220,31 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _sketches(rows: pa.Table) -> np.ndarray:
-    """Parity of the shingles by bit, four bits for each shingle of the band's largest set."""
-    bits = 4 << int(rows.column("band")[0].as_py())
-    out = np.empty((rows.num_rows, max(1, bits // 64)), np.uint64)
-    for i, x in enumerate(rows.column("shingles").to_pylist()):
-        odd = np.bincount((np.frombuffer(x, np.uint64) & np.uint64(bits - 1)).astype(np.int64), minlength=max(64, bits)) & 1
-        out[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
-    return out
+def _sketches(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, band, sketch: parity of the shingles by bit, four bits for each of the band's largest set."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for band, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                bits = max(64, 4 << band)
+                odd = np.bincount((np.frombuffer(x, np.uint64) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["cls", "band", "sketch"])
+
+    rows = wanted.select("cls", "band").distinct().join(sets, "cls").select("cls", "band", "shingles")
+    return rows.mapInArrow(run, "cls long, band int, sketch binary")
 
 
 def _long_runs(runs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of different components within long runs that sizes and sketches allow."""
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     dealt = runs.withColumn("c", F.pmod(F.xxhash64("cls"), chunks).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.select("sig", "cls", "label", "n", "band", F.least("c", "d").alias("c1"), F.greatest("c", "d").alias("c2"), "c").join(sets.select("cls", "shingles"), "cls")
+    dealt = dealt.select("sig", "cls", "label", "n", "band", F.least("c", "d").alias("c1"), F.greatest("c", "d").alias("c2"), "c").join(_sketches(sets, runs), ["cls", "band"])
 
     def run(rows: pa.Table) -> pa.Table:
-        sketch, cls, label, n, c = _sketches(rows), *(rows.column(k).to_numpy() for k in ("cls", "label", "n", "c"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        cls, label, n, c = (rows.column(k).to_numpy() for k in ("cls", "label", "n", "c"))
         one, two = rows.column("c1")[0].as_py(), rows.column("c2")[0].as_py()
         left, right = np.flatnonzero(c == one), np.flatnonzero(c == two)
         found = []
@@ -223,8 +252,8 @@ def _long_runs(runs: DataFrame, sets: DataFrame) -> DataFrame:
             others = right[(label[right] != label[i]) & (DEN * np.minimum(n[right], n[i]) >= NUM * np.maximum(n[right], n[i]))]
             if one == two:
                 others = others[others > i]
-            differ = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1)
-            near = others[differ * (DEN + NUM) <= (DEN - NUM) * (n[others] + n[i])]
+            differ = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64)
+            near = others[differ * (DEN + NUM) <= (DEN - NUM) * (n[others].astype(np.int64) + n[i])]
             found.append((np.full(len(near), cls[i]), cls[near]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -237,6 +266,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = materialize(_candidates(docs), "candidates")
     rows = found.where("kind = 0").select("doc_id", "cls", "n")
     signed = found.where("kind = 1").groupBy("sig", "cls", "band").agg(F.max("n").alias("n"), F.max("need").alias("need"))
+    signed = materialize(signed, "signatures")
     several = signed.groupBy("sig").agg(F.count("*").alias("members"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("members > 1")
     signed = signed.join(several, "sig")
     enough = signed.groupBy("cls", "band").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("cls", "band")
@@ -296,4 +326,16 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents"))
+    return components(table(spark, sf_dir, "documents")).drop("checked_links")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r(doc, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc),
+c AS (SELECT doc, min(root) AS component_id FROM r GROUP BY doc)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc = d.doc_id
+"""
