@@ -11,8 +11,10 @@ for each block; the tables sum the blocks' counts; and the sums are joined back
 exploded n-grams of each block, where scores are added up for each document. Everything
 that moves is proportional to the distinct n-grams of blocks.
 
-Words are parted by white space, A-Z in lower case; n-grams are 64-bit hashes of which
-40 bits and the bucket travel (47 bits and more: buckets grow with the input).
+Words are parted by white space, A-Z in lower case; n-grams are 64-bit hashes, and all
+64 bits travel, as differences of sorted keys (``_sent``). Two n-grams of equal hash
+would be counted as one: about one pair is expected among 6 billion. A context that is
+then left without occurrences is passed over.
 
 Defined results: null text, or one without words, has score 0 and mean null; the first
 words of a document have shorter contexts; a word that no other document has scores
@@ -31,7 +33,9 @@ from hazardspark.llm import blocks
 from hazardspark.llm.common import table
 from hazardspark.llm.jaccard import REMEMBERED, _mix, _Words
 
-ORDER, ALPHA, WIDTH, BLOCK = 3, 0.4, 5, 6 << 20
+ORDER, ALPHA, BLOCK = 3, 0.4, 6 << 20
+#: Bytes of a difference between neighbouring keys that are sent as they are; those above are mostly 0.
+RAW = 5
 _A = np.uint64(0x9E3779B97F4A7C15)
 OUT = "doc_id long, n_tokens long, score double, mean_score double"
 
@@ -47,6 +51,28 @@ def _wide(packed: bytes, size: int) -> np.ndarray:
     return out
 
 
+def _less(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _more(less: bytes) -> bytes:
+    return pa.decompress(less[8:], decompressed_size=int.from_bytes(less[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _sent(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys, whole, and their counts."""
+    apart = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return apart[:RAW].tobytes() + _less(apart[RAW:].tobytes() + _small(counts))
+
+
+def _received(sent: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    rest = _more(sent[RAW * size :])
+    apart = np.empty((size, 8), np.uint8)
+    apart[:, :RAW] = np.frombuffer(sent, np.uint8, RAW * size).reshape(RAW, size).T
+    apart[:, RAW:] = np.frombuffer(rest, np.uint8, (8 - RAW) * size).reshape(8 - RAW, size).T
+    return np.cumsum(apart.reshape(-1).view("<u8"), dtype=np.uint64), _wide(rest[(8 - RAW) * size :], size)
+
+
 class Block:
     """A block's n-grams: for each order, of each word, the n-gram that ends there."""
 
@@ -104,6 +130,7 @@ class Block:
         for n in range(ORDER, 0, -1):
             has = ~done & self.valid(n) & (others[n - 1] > 0)
             base = words if n == 1 else np.concatenate([[0], others[n - 2][:-1]])
+            has &= base > 0
             highest = np.minimum(self.depth + 1, ORDER)[has]
             out[has] = np.log(ALPHA) * (highest - n) + np.log(others[n - 1][has] / base[has])
             done |= has
@@ -118,31 +145,29 @@ def score(docs: DataFrame) -> DataFrame:
 
     def first(rows: pa.Table) -> pa.Table:
         keys, counts = Block(rows).tables()
-        sent = blocks.send(rows.column("block")[0].as_py(), keys, count, WIDTH)
-        ends = blocks._ends(keys, count)
-        counted = [raw + _small(counts[ends[b] : ends[b + 1]]) for b, raw in zip(sent.column("bucket").to_pylist(), sent.column("sent").to_pylist(), strict=True)]
-        sizes = pa.array([len(raw) // WIDTH for raw in sent.column("sent").to_pylist()], pa.int32())
-        return pa.table({"block": sent.column("block"), "bucket": sent.column("bucket"), "size": sizes, "sent": pa.array(counted, pa.binary())})
+        number, ends = rows.column("block")[0].as_py(), blocks._ends(keys, count)
+        full = [(b, ends[b], ends[b + 1]) for b in range(count) if ends[b] < ends[b + 1]]
+        sent = [_sent(keys[a:z], counts[a:z]) for _, a, z in full]
+        return pa.table({"block": pa.array([number] * len(full), pa.int32()), "bucket": pa.array([b for b, *_ in full], pa.int32()), "size": pa.array([z - a for _, a, z in full], pa.int32()), "sent": pa.array(sent, pa.binary())})
 
     def summed(rows: pa.Table) -> pa.Table:
-        sizes, sent = rows.column("size").to_pylist(), rows.column("sent").to_pylist()
-        raw = np.zeros((sum(sizes), 8), np.uint8)
-        raw[:, :WIDTH] = np.frombuffer(b"".join(s[: WIDTH * n] for s, n in zip(sent, sizes, strict=True)), np.uint8).reshape(-1, WIDTH)
-        counts = np.concatenate([_wide(s[WIDTH * n :], n) for s, n in zip(sent, sizes, strict=True)])
-        keys = raw.reshape(-1).view("<u8")
+        sizes = rows.column("size").to_pylist()
+        parts = [_received(x, n) for x, n in zip(rows.column("sent").to_pylist(), sizes, strict=True)]
+        keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         order = np.argsort(keys)
         ordered = keys[order]
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         out = np.empty(len(keys), np.int64)
         out[order] = np.repeat(np.add.reduceat(counts[order], starts), np.diff(np.append(starts, len(keys))))
         ends = np.cumsum([0, *sizes])
-        back = [_small(out[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        back = [_less(_small(out[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
         return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "size": rows.column("size"), "sent": pa.array(back, pa.binary())})
 
     def second(rows: pa.Table, found: pa.Table) -> pa.Table:
         held = Block(rows)
         back = sorted(zip(*(found.column(c).to_pylist() for c in ("bucket", "size", "sent")), strict=True))
-        total, sizes = held.scores(np.concatenate([_wide(s, n) for _, n, s in back]))
+        total, sizes = held.scores(np.concatenate([_wide(_more(s), n) for _, n, s in back]))
         mean = pa.array(total / np.maximum(sizes, 1), mask=sizes == 0)
         return pa.table({"doc_id": held.shown, "n_tokens": pa.array(sizes, pa.int64()), "score": pa.array(total), "mean_score": mean})
 

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from hazardspark.llm import lm
@@ -46,3 +47,17 @@ def test_equals_brute_force(spark, monkeypatch, size):
     assert got == sorted(((d, n, round(s, 6)) for d, n, s in brute(rows)), key=str)
     assert lm.score(docs.limit(0)).count() == 0
     assert all((r.mean_score is None) == (r.n_tokens == 0) for r in lm.score(docs).collect())
+
+
+def test_ngrams_with_equal_low_bits_stay_apart(spark):
+    # hashes of these two trigrams are equal in the low 40 bits and in the bucket, of 16
+    rows = [(1, "one two w13730028"), (2, "three four w7431788"), (3, "other words")]
+    got = sorted((r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((d, n, round(s, 6)) for d, n, s in brute(rows))
+
+
+def test_keys_travel_whole():
+    keys = np.unique(np.concatenate([np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64), np.array([0, 1, (1 << 64) - 1], np.uint64)]))
+    counts = np.where(np.arange(len(keys)) % 7 == 0, 1 << 40, 1)
+    got = lm._received(lm._sent(keys, counts), len(keys))
+    assert np.array_equal(got[0], keys) and np.array_equal(got[1], counts)
