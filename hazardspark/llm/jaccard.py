@@ -18,7 +18,8 @@ only those of sets that share enough become rows. Of the sets with one signature
 are checked exactly against all others (the stars' centres), links give components, and
 only sets that are still in different components are looked at further: all pairs of
 short runs; of long ones block against block by parity sketches, whose differing bits
-never exceed the differing shingles. Pairs that survive are checked exactly.
+never exceed the differing shingles. Pairs that survive are checked exactly. ``links``
+looks at all pairs of every run instead, and gives each link.
 
 Shingles are 64-bit hashes of five words, a class is a 64-bit hash of its set.
 
@@ -237,7 +238,7 @@ def _sketches(sets: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _long_runs(runs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components within long runs that sizes and sketches allow."""
+    """Pairs of different labels within long runs that sizes and sketches allow."""
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     dealt = runs.withColumn("c", F.pmod(F.xxhash64("cls"), chunks).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.select("sig", "cls", "label", "n", "band", F.least("c", "d").alias("c1"), F.greatest("c", "d").alias("c2"), "c").join(_sketches(sets, runs), ["cls", "band"])
@@ -261,8 +262,16 @@ def _long_runs(runs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.groupBy("sig", "c1", "c2").applyInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (doc_id, cls, n), linked pairs of classes (a, b), and components (node, label)."""
+def _pairs(runs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs of different labels that meet in a run and that sizes (and sketches) allow."""
+    short = runs.where(F.col("members") <= SHORT)
+    two = short.select("sig", F.col("cls").alias("other"), F.col("label").alias("l2"), F.col("n").alias("m"))
+    pairs = short.join(two, "sig").where((F.col("cls") < F.col("other")) & (F.col("label") != F.col("l2")) & _alike("n", "m")).select(F.col("cls").alias("a"), F.col("other").alias("b"))
+    return _ordered(pairs.union(_long_runs(runs.where(F.col("members") > SHORT), sets)))
+
+
+def _signed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, cls, n), signatures of sets that share enough, and these sets."""
     found = materialize(_candidates(docs), "candidates")
     rows = found.where("kind = 0").select("doc_id", "cls", "n")
     signed = found.where("kind = 1").groupBy("sig", "cls", "band").agg(F.max("n").alias("n"), F.max("need").alias("need"))
@@ -272,7 +281,27 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     enough = signed.groupBy("cls", "band").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("cls", "band")
     signed = materialize(signed.join(enough, ["cls", "band"]).select("sig", "cls", "band", "n", "members", "low", "high"), "signed")
     sets = found.where("kind = 2").join(signed.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(sets, "sets")
+    return rows, signed, materialize(sets, "sets")
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, cls, n), and every linked pair of different classes (a < b), checked by whole sets.
+
+    Rows of one class are linked with each other besides. No pair is left out for being
+    in one component already, so a group of many alike gives the square of its classes.
+    """
+    rows, signed, sets = _signed(docs)
+    runs = signed.select("sig", "cls", "band", "n", F.col("cls").alias("label"), "members")
+    return rows, _checked(_pairs(runs, sets), sets).where("linked").select("a", "b")
+
+
+def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, cls, n), partial links of classes (a, b), and components (node, label).
+
+    The components are whole. The links are only those met on the way to them, at least
+    a spanning tree of each component: ``links`` gives all.
+    """
+    rows, signed, sets = _signed(docs)
     sizes = signed.select(F.col("cls").alias("other"), F.col("n").alias("m")).distinct()
 
     def fitting(pairs: DataFrame) -> DataFrame:
@@ -281,8 +310,8 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     stars = signed.select("cls", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("other")).where("cls <> other")
     checked = _checked(fitting(stars), sets)
-    links = checked.where("linked").select("a", "b")
-    labels = connected(links)
+    found = checked.where("linked").select("a", "b")
+    labels = connected(found)
 
     def open_runs() -> DataFrame:
         """Runs of three and more whose members lie in several components."""
@@ -291,13 +320,13 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         return materialize(at.join(counts, "sig"), "runs")
 
     def add(pairs: DataFrame) -> int:
-        nonlocal checked, links, labels
+        nonlocal checked, found, labels
         new = _checked(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets)
         checked = checked.union(new)
         grown = new.where("linked").count()
         if grown:
-            links = checked.where("linked").select("a", "b")
-            labels = connected(links)
+            found = checked.where("linked").select("a", "b")
+            labels = connected(found)
         return grown
 
     for turn in range(ROUNDS):
@@ -306,18 +335,14 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         each = runs.join(centre, "sig").select("cls", "n", "label", F.explode(F.array("p", "q")).alias("o"))
         if not add(fitting(each.where("label <> o.label").select("cls", "n", F.col("o.cls").alias("other")))):
             break
-    runs = open_runs()
-    short = runs.where(F.col("members") <= SHORT)
-    two = short.select("sig", F.col("cls").alias("other"), F.col("label").alias("l2"), F.col("n").alias("m"))
-    pairs = short.join(two, "sig").where((F.col("cls") < F.col("other")) & (F.col("label") != F.col("l2")) & _alike("n", "m")).select(F.col("cls").alias("a"), F.col("other").alias("b"))
-    add(_ordered(pairs.union(_long_runs(runs.where(F.col("members") > SHORT), sets))))
-    return rows, links, labels
+    add(_pairs(open_runs(), sets))
+    return rows, found, labels
 
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, checked_links (found on the way, at least a spanning tree)."""
-    rows, links, labels = join(docs)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("checked_links"))
+    rows, partial, labels = join(docs)
+    degree = partial.select("a").union(partial.select("b")).groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("checked_links"))
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     whole = classes.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -68,6 +68,19 @@ def test_equals_brute_force(spark, monkeypatch, seed, size, short, chunk):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("seed,short,chunk", [(1, 12, 256), (2, 3, 5)])
+def test_links_are_all_there(spark, monkeypatch, seed, short, chunk):
+    monkeypatch.setattr(j, "SHORT", short)
+    monkeypatch.setattr(j, "CHUNK", chunk)
+    rows = corpus(seed)
+    classes = {j.class_of(j.shingles(t, j._Words())): sets(t) for _, t in rows if sets(t)}
+    linked = {(a, b) for a, x in classes.items() for b, y in classes.items() if a < b and 100 * len(x & y) >= 75 * len(x | y)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, got = j.links(docs)
+    assert found.count() == len(rows)
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(linked)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert j.components(docs).count() == 0
