@@ -44,6 +44,16 @@ def test_labels_held_out_do_not_matter(spark):
     assert all(np.array_equal(x, y) for x, y in zip(a.layers, b.layers, strict=True))
 
 
+def test_repeated_doc_id_is_one_text(spark):
+    rows = corpus(60)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    once = [(i, t) for i, t, _ in rows]
+    often = next((i, t) for i, t in once if zlib.crc32(str(i).encode()) % 3 != 1)
+    more = once + [often] * 300 + [(often[0], None), (often[0], often[1] + " and a later version")]
+    a, b = (quality.learn(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (once, more))
+    assert all(np.array_equal(x, y) for x, y in zip(a.layers, b.layers, strict=True))
+
+
 def test_one_kind_of_label_gives_the_share():
     assert quality.fit(["a", "b"], [1, 1]).prior == 1.0 and quality.fit([], []).prior == 0.5
     assert quality.fit(["a", "b"], [1, 1]).layers is None
