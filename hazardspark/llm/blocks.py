@@ -1,7 +1,8 @@
 """Meeting of keys between ranges of a corpus, two small shuffles instead of one large one.
 
-A corpus is cut into blocks: ranges of doc_id of about equal bytes, found from sampled
-splitters; texts travel there compressed. A block's distinct keys (64-bit hashes) are sorted and sent in buckets by
+A corpus is cut into blocks: ranges of doc_id of about equal bytes, found from splitters
+of rows drawn by their bytes; a doc_id (or null) whose rows fill a block and more is a
+range of its own, dealt row by row to several blocks. Texts travel there compressed. A block's distinct keys (64-bit hashes) are sorted and sent in buckets by
 their leading bits, one binary row for each block and bucket. Where a bucket's rows
 meet, each key learns of the same key in other blocks, and the answer goes back as an
 array in the order of the keys sent. A key that a third of all documents share is sent
@@ -18,10 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import partitions
+from hazardspark.llm.common import materialize, partitions
 
 #: Bytes of text in a block.
 BLOCK = 8 << 20
+#: Rows drawn for each block, to find splitters; low bits of a block's number, those above number its range.
+DRAWN, PART = 256, 12
 MOST = (1 << 63) - 1
 SENT = "block int, bucket int, sent binary"
 
@@ -40,13 +43,27 @@ def block_of(key: Column, splitters: list[int]) -> Column:
 def with_blocks(docs: DataFrame, size: int = BLOCK, carried: list[str] = ()) -> DataFrame:
     """block and packed: doc_id, text (null: empty) and the carried columns (see ``unpack``)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *carried)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-total // size))
-    splitters: list[int] = []
-    if count > 1:
-        cuts = [i / count for i in range(1, count)]
-        splitters = sorted({int(x) for x in docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", cuts, 0.1 / count)})
-    return _packed(docs.withColumn("block", block_of(F.col("doc_id"), splitters).cast("int")))
+    weight = F.octet_length("text") + 16
+    total, least = docs.agg(F.sum(weight), F.min("doc_id")).first()
+    count = max(1, -(-(total or 0) // size))
+    if count == 1:
+        return _packed(docs.withColumn("block", F.lit(0)))
+    times = F.floor(weight * (DRAWN / size) + F.rand(7)).cast("int")
+    drawn = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.array_repeat(F.lit(0), times)))
+    several = drawn.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b")).where((F.col("n") >= DRAWN) & (F.col("a") < F.col("b")))
+    heavy = {r.doc_id: min(-(-r.n // DRAWN), 1 << PART) for r in several.collect()}  # fewer than blocks
+    cuts = [i / count for i in range(1, count)]
+    splitters = {int(x) for x in drawn.where("doc_id IS NOT NULL").approxQuantile("doc_id", cuts, 0.1 / count)} if least is not None else set()
+    splitters |= {x for h in heavy if h is not None for x in (h, h + 1) if x < MOST}
+    ordered = sorted(splitters)
+    number = block_of(F.col("doc_id"), ordered).cast("int")
+    if not heavy:
+        return _packed(docs.withColumn("block", F.shiftleft(number, PART)))
+    number = F.when(F.col("doc_id").isNull(), len(ordered) + 1).otherwise(number)
+    parts = F.coalesce(*(F.when(F.col("doc_id").eqNullSafe(F.lit(h)), n) for h, n in heavy.items()), F.lit(1))
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts).cast("int")
+    # rows dealt by their place must not be dealt anew: these blocks are written once
+    return materialize(_packed(docs.withColumn("block", F.shiftleft(number, PART) + part)), "blocks")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -123,6 +140,12 @@ def in_smaller(keys: np.ndarray, blocks: np.ndarray, starts: np.ndarray) -> np.n
     return out
 
 
+def in_smaller_range(keys: np.ndarray, blocks: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether each key is in a block of smaller doc_ids; blocks that share one doc_id are no smaller than each other."""
+    ranges = blocks >> PART
+    return ranges > np.repeat(ranges[starts], np.diff(np.append(starts, len(keys))))
+
+
 def answers_of(met: pa.Table) -> list[np.ndarray]:
     """One-byte answers of each row of a bucket."""
     return [np.frombuffer(x, np.uint8) for x in met.column("sent").to_pylist()]

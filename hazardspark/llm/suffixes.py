@@ -3,7 +3,7 @@
 Every byte goes that is covered by a string of ``LENGTH`` bytes which also starts in a
 document of smaller doc_id. The suffixes that matter are found in two rounds:
 
-1. Texts that stand whole in a smaller block go at once. Of each string of ``LENGTH``
+1. Texts that stand whole in a block of smaller doc_ids go at once. Of each string of ``LENGTH``
    bytes in the others one sample suffix is drawn by its content alone (the least hash
    of ``RUN`` bytes, the rightmost of equals), so equal strings draw suffixes at equal
    places. Only strings whose sample leads with bytes that another text's samples lead
@@ -14,7 +14,8 @@ document of smaller doc_id. The suffixes that matter are found in two rounds:
    spread evenly where the text's own do not, so the ranges of keys need no sample.
 
 Documents lie in blocks (ranges of doc_id from sampled splitters), so that "in a smaller
-document" is "in a smaller block, or before it in this block": equal prefixes cross
+document" is "in a block of a smaller range, or before it in this block" (a range is one
+block, or several that hold nothing but one doc_id): equal prefixes cross
 bucket and block borders as sorted arrays of keys (``blocks``), never as texts or pairs.
 Texts are shuffled into their blocks only, and long ones are worked on in stretches.
 
@@ -246,7 +247,7 @@ def _removed(docs: DataFrame, schema, results) -> DataFrame:
         return rows.withColumn("round", F.lit(number))
 
     def smaller(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("bucket").applyInArrow(lambda r: blocks.meet(r, blocks.in_smaller, "?"), blocks.SENT)
+        return rows.groupBy("bucket").applyInArrow(lambda r: blocks.meet(r, blocks.in_smaller_range, "?"), blocks.SENT)
 
     known = round_(smaller(grouped.applyInArrow(zero, blocks.SENT)), 0)
     one = grouped.cogroup(known.groupBy("block")).applyInArrow(first, blocks.SENT)
