@@ -55,22 +55,20 @@ def corpus(seed, groups=12, copies=14):
     return rows
 
 
-@pytest.mark.parametrize("seed,size,short,chunk", [(1, 8 << 20, 12, 256), (2, 9000, 3, 5)])
-def test_equals_brute_force(spark, monkeypatch, seed, size, short, chunk):
+@pytest.mark.parametrize("seed,size,chunk", [(1, 8 << 20, 8 << 20), (2, 9000, 3000)])
+def test_equals_brute_force(spark, monkeypatch, seed, size, chunk):
     cut = j.blocks.with_blocks
     monkeypatch.setattr(j.blocks, "with_blocks", lambda d, carried=(): cut(d, size, carried))
-    monkeypatch.setattr(j, "SHORT", short)
     monkeypatch.setattr(j, "CHUNK", chunk)
-    monkeypatch.setattr(j, "ROUNDS", 1 if seed == 2 else 3)
+    monkeypatch.setattr(j, "AT_ONCE", 4 * chunk)
     rows = corpus(seed)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS cls", "2 AS label")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS cls", "2 AS label", "3 AS block")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.components(docs).collect()), key=str)
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("seed,short,chunk", [(1, 12, 256), (2, 3, 5)])
-def test_links_are_all_there(spark, monkeypatch, seed, short, chunk):
-    monkeypatch.setattr(j, "SHORT", short)
+@pytest.mark.parametrize("seed,chunk", [(1, 8 << 20), (2, 3000)])
+def test_links_are_all_there(spark, monkeypatch, seed, chunk):
     monkeypatch.setattr(j, "CHUNK", chunk)
     rows = corpus(seed)
     classes = {j.class_of(j.shingles(t, j._Words())): sets(t) for _, t in rows if sets(t)}
@@ -81,13 +79,34 @@ def test_links_are_all_there(spark, monkeypatch, seed, short, chunk):
     assert sorted((r.a, r.b) for r in got.collect()) == sorted(linked)
 
 
+def chain(n):
+    """Texts of which each is alike to its neighbours alone."""
+    return [(i, " ".join(f"w{k}" for k in range(10 * i, 10 * i + 100))) for i in range(n)]
+
+
+def test_a_chain_through_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(j, "CHUNK", 4000)
+    rows = chain(60) + [(100 + i, t + " tail") for i, t in chain(60)[::7]]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows) and {c for *_, c in got} == {0}
+
+
+def test_a_task_gives_no_more_links_than_rows():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    made = [np.unique(np.concatenate([np.delete(base, rng.integers(0, 200, 12)), rng.integers(0, 1 << 63, 12, dtype=np.uint64)])) for _ in range(400)]
+    labels = np.arange(400)
+    assert len(j.search(made, labels, np.arange(400))) <= 399
+    assert len(j.search(made, np.arange(400), np.arange(400), every=True)) > 10_000
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert j.components(docs).count() == 0
 
 
 def test_partners_share_as_many_as_they_need():
-    rng = np.random.default_rng(4)
+    rng, seen = np.random.default_rng(4), 0
     for _ in range(3000):
         size = int(rng.integers(1, 300))
         a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
@@ -97,7 +116,23 @@ def test_partners_share_as_many_as_they_need():
         both = len(np.intersect1d(a, b))
         if 100 * both < 75 * (len(a) + len(b) - both):
             continue
-        x, y = ({t: (need, set(s.tolist())) for t, need, s in j.signatures(v)} for v in (a, b))
-        band = min(len(a), len(b)).bit_length()
-        (p, s), (q, t) = x[band], y[band]
-        assert len(s & t) >= max(p, q)
+        seen += 1
+        held = []
+        for v in (a, b):
+            signed = j.Signed(v, np.array([len(v)]))
+            weak = signed.need < 1
+            found = {}
+            for entry, (band, *_) in enumerate(j.bands(len(v))):
+                mine = signed.entry == entry
+                found[band] = max(1, int(signed.need[entry])), weak[entry], set(signed.sig[mine & ~signed.single].tolist()), set(signed.sig[mine & signed.single].tolist())
+            held.append((found, signed, np.array([len(v)])))
+        band = int(np.searchsorted(j.tops(), min(len(a), len(b))))
+        (p, wa, s, ss), (q, wb, t, tt) = held[0][0][band], held[1][0][band]
+        assert len(s & t) >= max(0 if wa else p, 0 if wb else q)
+        assert not (wa and wb) or 100 * len(ss & tt) >= 75 * max(len(a), len(b))
+        # what goes on meets, whatever is rare
+        rare = lambda sig: sig % np.uint64(5)
+        every = set(held[0][1].sig.tolist()) & set(held[1][1].sig.tolist())
+        one, two = ({int(x) for x in h[1].sig[j.rarest(h[1], h[2], np.array([x in every for x in h[1].sig.tolist()], bool), rare(h[1].sig))]} for h in held)
+        assert one & two
+    assert seen > 500
