@@ -370,7 +370,9 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     rows = found.where("kind = 0").select("doc_id", "cls", "n")
     signed = found.where("kind = 1").select("sig", "cls")
     low = signed.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("sig", "low")
-    comps = connected(signed.join(low, "sig").select(F.col("cls").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("cls"), F.col("label").alias("comp"))
+    # the ends of a set's signatures are joined to the least of them: as connected, and in a large group the same few pairs for all its sets
+    ends = signed.join(low, "sig").groupBy("cls").agg(F.collect_set("low").alias("lows")).select(F.explode(F.array_union("lows", F.array("cls"))).alias("a"), F.array_min("lows").alias("b"))
+    comps = connected(ends).select(F.col("node").alias("cls"), F.col("label").alias("comp"))
     sets = found.where("kind = 2").select("cls", "n", "shingles")
     size = materialize(sets.select("cls", "n").join(comps, "cls").groupBy("comp").agg(F.sum(F.col("n") * 8 + 64).alias("bytes")), "groups")
     total = size.agg(F.sum("bytes")).first()[0] or 0
