@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release(result):
+    """``result``, after what a task has freed went back to the system: workers are reused, and would hold it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+    return result
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # other C libraries
+    _trim = None
+
+
 def slices(sizes, limit: int):
     """(start, stop) of consecutive rows whose sizes add up to about ``limit``."""
     start = total = 0

@@ -321,7 +321,7 @@ def _members(rows: pa.Table):
     order = order[new]
     held = rows.column("shingles").combine_chunks()
     starts = np.flatnonzero(np.diff(comp[order], prepend=comp[order[:1]] - 1))
-    for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+    for a, b in zip(starts, np.append(starts, len(order))[1:], strict=True):
         at = order[a:b]
         yield int(comp[at[0]]), cls[at], label[at], [np.frombuffer(held[int(i)].as_buffer(), np.uint64) for i in at]
 

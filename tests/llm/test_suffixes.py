@@ -39,20 +39,34 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("size,stretch", [(8 << 20, 1 << 20), (1500, 97)])
-def test_equals_brute_force(spark, monkeypatch, size, stretch):
+@pytest.mark.parametrize("size,stretch,hot,weak", [(8 << 20, 1 << 20, 32, None), (1500, 97, 32, None), (1500, 97, 3, None), (1500, 1 << 20, 32, 0xFF << 40), (1500, 97, 2, 0)])
+def test_equals_brute_force(spark, monkeypatch, size, stretch, hot, weak):
     monkeypatch.setattr(suffixes, "STRETCH", stretch)
-    cut = blocks.with_blocks
-    monkeypatch.setattr(blocks, "with_blocks", lambda d, carried=(): cut(d, size, carried))
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "AT_ONCE", 50)
+    if weak is not None:  # leads of equal hash by the hundred: the bytes decide
+        full = suffixes._hashes
+        monkeypatch.setattr(suffixes, "_hashes", lambda raw, n: full(raw, n) & np.uint64(weak))
+    monkeypatch.setattr(suffixes, "BLOCK", size)
     docs = spark.createDataFrame(rows(), "doc_id long, text string").selectExpr("*", "1 AS block", "2 AS bucket")
     got = suffixes.remove_repeats(docs)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows())
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_multikey_sorts_like_bytes():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 3, (500, 18)).astype(np.uint8) * 127
+    rows[:, :6] = rows[0, :6]
+    order, new = suffixes.multikey(suffixes._words(rows))
+    made = [rows[i].tobytes() for i in order]
+    assert made == sorted(r.tobytes() for r in rows)
+    assert new.tolist() == [i == 0 or made[i] != made[i - 1] for i in range(len(made))]
+
+
 def test_kept_text(spark):
     passage = "a passage of some length that stands in both of these documents here"
-    docs = spark.createDataFrame([(1, f"one {passage} x"), (2, f"two {passage} y")], "doc_id long, text string").selectExpr("7 AS n_chars", "*", "'a' AS lang")
+    docs = spark.createDataFrame([(1, f"one {passage} x"), (2, f"two {passage} y")], "doc_id long, text string").selectExpr("7 AS n_chars", "*", "'a' AS lang", "9 AS block", "8 AS rest", "'b' AS _", "1 AS packed")
     got = suffixes.without_repeats(docs)
     assert got.columns == docs.columns
     assert {r.doc_id: r.text for r in got.collect()} == {1: f"one {passage} x", 2: "twoy"}
