@@ -9,7 +9,8 @@ hot document or source only means more equal pieces, which are encoded once.
 
 Defined results: null text counts as empty; an empty text has no ids; each row is
 encoded by itself, so repeated rows and repeated or null ids give repeated results;
-columns of the input that are not asked for are ignored.
+columns of the input that are not asked for stay as they are (``encode``, ``decode``) or
+are ignored; a column that has the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import base64
 import hashlib
 import heapq
 from collections import defaultdict
-from itertools import chain
+from itertools import accumulate, chain
 
 import public_tokenizers
 import pyarrow as pa
@@ -29,36 +30,39 @@ from pyspark.sql import functions as F
 from hazardspark.llm.common import slices, table
 
 #: Entries that a worker remembers between stretches, and characters in a stretch.
-REMEMBERED, STRETCH = 250_000, 4_000_000
+REMEMBERED, STRETCH = 700_000, 4_000_000
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, ...]]:
+class Ranks(dict):
+    """Ranks by bytes; beside them the bytes by rank, and what each mergeable pair of ranks makes."""
+
+    def __init__(self, content: bytes):
+        super().__init__((base64.b64decode(a), int(b)) for a, b in map(bytes.split, content.splitlines()) if a)
+        self.names = {v: k for k, v in self.items()}
+        self.width = max(self.names, default=0) + 2
+        get = self.get
+        self.pairs = {
+            left * self.width + right: rank
+            for name, rank in self.items() for at in range(1, len(name))
+            if (left := get(name[:at])) is not None and (right := get(name[at:])) is not None
+        }
+        self.bytes = [get(bytes([b]), -1) for b in range(256)]
+
+
+def replay(words: list[bytes], ranks: Ranks) -> list[tuple[int, ...]]:
     """The ids of each word, by merges in rank order over all words together."""
-    names = {v: k for k, v in ranks.items()} if not isinstance(ranks, _Ranks) else ranks.names
-    byte_ids = [ranks.get(bytes([b]), -1) for b in range(256)]
-    token: list[int] = []
-    word_of: list[int] = []
-    starts = []
-    for i, word in enumerate(words):
-        starts.append(len(token))
-        token.extend(map(byte_ids.__getitem__, word))
-        word_of.extend([i] * len(word))
+    width, made = ranks.width, ranks.pairs.get
+    token = list(map(ranks.bytes.__getitem__, b"".join(words)))
     size = len(token)
+    ends = list(accumulate(map(len, words)))
+    word_of = [i for i, word in enumerate(words) for _ in word]
     right = list(range(1, size + 1))
     left = list(range(-1, size - 1))
-    made_by: dict[tuple[int, int], int] = {}
-
-    def made(a: int, b: int) -> int:
-        """The id that the pair makes, or -1."""
-        got = made_by.get((a, b))
-        if got is None:
-            got = made_by[a, b] = ranks.get(names[a] + names[b], -1) if a >= 0 and b >= 0 else -1
-        return got
-
     index: dict[int, list[int]] = defaultdict(list)
-    for p in range(size - 1):
-        if word_of[p] == word_of[p + 1] and (r := made(token[p], token[p + 1])) >= 0:
-            index[r].append(p)
+    last = dict.fromkeys(end - 1 for end in ends)
+    for p, rank in enumerate(made(a * width + b) for a, b in zip(token, token[1:], strict=False)):
+        if rank is not None and p not in last:
+            index[rank].append(p)
     heap = list(index)
     heapq.heapify(heap)
     while heap:
@@ -67,7 +71,7 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, ...]]
         for p in sorted(index.pop(rank, ())):
             q = right[p]
             word = word_of[p]
-            if token[p] < 0 or q >= size or word_of[q] != word or made(token[p], token[q]) != rank:
+            if q >= size or word_of[q] != word or token[p] < 0 or made(token[p] * width + token[q]) != rank:
                 continue
             if word == held:
                 if rank not in index:
@@ -78,32 +82,23 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, ...]]
             after = right[p] = right[q]
             if after < size:
                 left[after] = p
-                if word_of[after] == word and (r := made(rank, token[after])) >= 0:
+                if word_of[after] == word and (r := made(rank * width + token[after])) is not None:
                     if r not in index:
                         heapq.heappush(heap, r)
                     index[r].append(p)
                     held = word if r <= rank else held
             before = left[p]
-            if before >= 0 and word_of[before] == word and (r := made(token[before], rank)) >= 0:
+            if before >= 0 and word_of[before] == word and (r := made(token[before] * width + rank)) is not None:
                 if r not in index:
                     heapq.heappush(heap, r)
                 index[r].append(before)
                 held = word if r <= rank else held
-    starts.append(size)
-    return [tuple(t for t in token[a:b] if t != -2) for a, b in zip(starts, starts[1:], strict=False)]
-
-
-class _Ranks(dict):
-    """Ranks by bytes, with the bytes by rank beside them."""
-
-    def __init__(self, content: bytes):
-        super().__init__((base64.b64decode(a), int(b)) for a, b in map(bytes.split, content.splitlines()) if a)
-        self.names = {v: k for k, v in self.items()}
+    return [tuple(t for t in token[a:b] if t != -2) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class ByteBPE:
     def __init__(self, content: bytes, pattern: str):
-        self.ranks = _Ranks(content)
+        self.ranks = Ranks(content)
         self.names = self.ranks.names
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
@@ -150,9 +145,11 @@ def _texts(column) -> list[str]:
 
 
 def encode(df: DataFrame, text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, ids: str = "ids") -> DataFrame:
-    """``df`` with an array of token ids for each row's text."""
+    """``df`` with an array of token ids for each row's text, in place of a column of that name."""
     vocabulary, at = _vocabulary(df.sparkSession, path), df.columns.index(text)
-    schema = df.select("*").withColumn(ids, F.lit(None).cast("array<int>")).schema
+    rest = [i for i, c in enumerate(df.columns) if c != ids]
+    names = [*(df.columns[i] for i in rest), ids]
+    schema = df.select(*names[:-1]).withColumn(ids, F.lit(None).cast("array<int>")).schema
 
     def run(batches):
         codec = _codec(vocabulary, pattern)
@@ -161,21 +158,23 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, pattern:
             for a, b in slices([len(x) for x in found], STRETCH):
                 rows = batch.slice(a, b - a)
                 column = pa.array(codec.encode(found[a:b]), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, ids])
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in rest), column], names=names)
 
     return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None, text: str = "decoded") -> DataFrame:
-    """``df`` with the bytes that the ids of each row stand for (null ids: empty)."""
+    """``df`` with the bytes that the ids of each row stand for (null ids: empty), in place of a column of that name."""
     vocabulary, at = _vocabulary(df.sparkSession, path), df.columns.index(ids)
-    schema = df.select("*").withColumn(text, F.lit(None).cast("binary")).schema
+    rest = [i for i, c in enumerate(df.columns) if c != text]
+    names = [*(df.columns[i] for i in rest), text]
+    schema = df.select(*names[:-1]).withColumn(text, F.lit(None).cast("binary")).schema
 
     def run(batches):
         codec = _codec(vocabulary, public_tokenizers.PATTERN)
         for batch in batches:
             column = pa.array([codec.decode(x or []) for x in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, text])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), column], names=names)
 
     return df.mapInArrow(run, schema)
 

@@ -52,15 +52,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardspark.llm import blocks
-from hazardspark.llm.common import materialize, slices, table
+from hazardspark.llm.common import materialize, release, slices, table
 from hazardspark.llm.components import connected
 
 WORDS, NUM, DEN = 5, 75, 100
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Second-level parts, how many of them may be spoiled, and first-level parts above those that are needed.
 SECOND, DIRTY, SLACK = 3, 1, 15
 #: Bytes of sets that are searched in one task; shingles that are signed at once.
-CHUNK, AT_ONCE = 8 << 20, 1 << 18
+CHUNK, AT_ONCE = 8 << 20, 1 << 17
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Odd factors, one for each word of a shingle.
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -139,10 +139,12 @@ class Signed:
     """The signatures of sets: an entry for each band of a set, with its set and its ``need``; for each signature its entry."""
 
     def __init__(self, hashes: np.ndarray, sizes: np.ndarray):
-        parts = [_signed(hashes, sizes, slice(a, b)) for a, b in slices(sizes.tolist(), AT_ONCE)]
-        before = np.cumsum([0, *(len(p[0]) for p in parts)])
-        self.set, self.need, self.sig, entry, self.single = (np.concatenate(x) for x in zip(*(parts or [_signed(hashes, sizes, slice(0, 0))]), strict=True))
-        self.entry = entry + np.repeat(before[:-1], [len(p[3]) for p in parts]) if parts else entry
+        parts = [_signed(hashes, sizes, slice(a, b)) for a, b in slices(sizes.tolist(), AT_ONCE)] or [_signed(hashes, sizes, slice(0, 0))]
+        before = 0
+        for part in parts:
+            part[3][:] += before
+            before += len(part[0])
+        self.set, self.need, self.sig, self.entry, self.single = (np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _signed(hashes: np.ndarray, sizes: np.ndarray, rows: slice) -> tuple[np.ndarray, ...]:
@@ -177,7 +179,7 @@ def _signed(hashes: np.ndarray, sizes: np.ndarray, rows: slice) -> tuple[np.ndar
     entries.append(np.repeat(np.arange(len(of)), size)[weak])
     single = np.zeros(normal + len(sigs[-1]), bool)
     single[normal:] = True
-    return of, agree, np.concatenate(sigs), np.concatenate(entries), single
+    return of, agree, np.concatenate(sigs), np.concatenate(entries).astype(np.int32), single
 
 
 def rarest(signed: Signed, sizes: np.ndarray, met: np.ndarray, blocks_with: np.ndarray) -> np.ndarray:
@@ -240,7 +242,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
     def first(rows: pa.Table, found: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return blocks.send(0, np.empty(0, np.uint64), count, 6)
-        return blocks.send(rows.column("block")[0].as_py(), np.unique(Block(rows, found).signed.sig), count, 6)
+        return release(blocks.send(rows.column("block")[0].as_py(), np.unique(Block(rows, found).signed.sig), count, 6))
 
     def second(rows: pa.Table, found: pa.Table) -> pa.Table:
         held = Block(rows, found)
@@ -254,11 +256,11 @@ def _candidates(docs: DataFrame) -> DataFrame:
         sets = list(held.sets.values())
         ids, own, sizes = zip(*held.rows, strict=True) if held.rows else ((), (), ())
         rows_of = lambda kind, many, **columns: pa.table([pa.array(np.full(many, kind, np.int32)), *(columns.get(k, pa.nulls(many, t)) for k, t in KINDS.items())], names=["kind", *KINDS])
-        return pa.concat_tables([
+        return release(pa.concat_tables([
             rows_of(0, len(ids), doc_id=pa.array(ids, pa.int64()), cls=pa.array(own, pa.int64()), n=pa.array(sizes, pa.int32())),
             rows_of(1, len(chosen), cls=pa.array(classes[owners]), sig=pa.array(signed.sig[chosen].view(np.int64))),
             rows_of(2, len(out), cls=pa.array(classes[out]), n=pa.array(held.sizes[out].astype(np.int32)), shingles=pa.array([sets[i].tobytes() for i in out], pa.binary())),
-        ])
+        ]))
 
     texts = grouped.applyInArrow(zero, blocks.SENT).groupBy("bucket").applyInArrow(lambda r: blocks.meet(r, blocks.in_smaller, "?"), blocks.SENT)
     known = texts.withColumn("round", F.lit(0))

@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 from hazardspark.llm.common import materialize, slices, table
 
 LIMIT, END, GROUP = 2048, 0, 50_000
-REMEMBERED, STRETCH = 500_000, 4_000_000
+REMEMBERED, STRETCH = 300_000, 2_000_000
 
 
 def _byte_names() -> list[str]:
@@ -237,9 +237,9 @@ def two_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(parts: DataFrame, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
     """``parts`` (with length from 1 to ``limit``) with sequence_id and offset."""
-    parts = materialize(parts, "pieces")
+    parts = materialize(parts, "pieces")  # rows have a place from here on: equal rows go to different groups
     groups = max(1, -(-parts.count() // group))
-    dealt = parts.withColumn("group_no", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(groups)))
+    dealt = parts.withColumn("group_no", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
     schema = parts.select("*").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
 
     def run(rows: pa.Table) -> pa.Table:

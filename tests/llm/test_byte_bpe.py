@@ -55,6 +55,14 @@ def test_round_trip_rows(spark):
 
 
 def test_encode_then_decode(spark):
-    docs = spark.createDataFrame([(1, "ab cd"), (2, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "ab cd"), (2, None)], "doc_id long, text string").selectExpr("9 AS ids", "*", "8 AS decoded")
     rows = {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(byte_bpe.encode(docs)).collect()}
     assert rows == {1: b"ab cd", 2: b""}
+
+
+def test_other_patterns_are_matched_whole():
+    with open(PATH, "rb") as f:
+        codec = byte_bpe.ByteBPE(f.read(), r"[ab ]+|[^ab ]+")
+    text = "a b  ab xyz ab\n"
+    library = tiktoken.Encoding("own", pat_str=r"[ab ]+|[^ab ]+", mergeable_ranks=dict(codec.ranks), special_tokens={})
+    assert codec.encode([text]) == [library.encode_ordinary(text)]

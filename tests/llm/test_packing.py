@@ -64,3 +64,13 @@ def test_merges_equal_the_library():
     got = encoder.encode([" ".join(words[i : i + 50]) for i in range(0, len(words), 50)])
     for i, ids in zip(range(0, len(words), 50), got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(" ".join(words[i : i + 50]), add_special_tokens=False).ids
+
+
+def test_equal_rows_are_dealt_over_groups(spark):
+    parts = spark.range(4000).selectExpr("cast(7 AS long) AS doc_id", "0 AS piece", "cast(0 AS long) AS start", "cast(100 AS long) AS length", "cast(5 AS long) AS ids_crc32").repartition(3)
+    got = packing.pack(parts, 2048, 500).selectExpr("sequence_id >> 40 AS g", "sequence_id").collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.g, []).append(r.sequence_id)
+    assert len(got) == 4000 and len(held) == 8 and max(map(len, held.values())) < 700
+    assert len({r.sequence_id for r in got}) <= 200 + 8
