@@ -1,8 +1,8 @@
 """The corpus pipeline: quality, near duplicates, repeated passages, packing.
 
-Each stage works on all that the stage before it kept. Rows of equal doc_id are taken
-as versions of one document: exact repeats of a row are dropped with the near
-duplicates; an empty table runs through all stages.
+Each stage works on all that the stage before it kept, and leaves columns of any name as
+they are. Null texts count as empty; rows of equal doc_id are documents of their own;
+an empty table runs through all stages.
 """
 
 from __future__ import annotations
@@ -15,30 +15,41 @@ from hazardspark.llm.common import materialize, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject (score of 0.5 and more).
+
+    Repeated rows get one score; a null or empty text is scored like any other.
+    """
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, into=("_score", "_predicted")).where("_predicted = 1").select(docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return quality.score(held, model).where("predicted = 1").select("row.*")
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id.
+    """One row of each group of near duplicates: that of the smallest doc_id, of the smallest text hash where that repeats.
 
-    A document without doc_id goes by a negative hash of its text; texts without words
-    are linked with nothing and all stay.
+    Rows are grouped by their text, whatever their doc_id; a row without doc_id stays only
+    where its whole group has none. Texts without words are linked with nothing: all stay.
     """
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.shiftright(F.xxhash64("text"), 1)) - 1)).withColumn("_text", F.xxhash64("text"))
-    found = jaccard.components(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "_text"]).select(docs.columns)
+    words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), words.alias("words"))
+    found = jaccard.components(docs.where(words).select(F.xxhash64("text").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("group"))
+    first = F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "key")).alias("first")
+    kept = held.where("words").select("id", "key").join(found, "key").groupBy("group").agg(first).select(F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"))
+    one = held.where("words").join(kept, (F.col("key") == F.col("first_key")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["id", "key"])
+    return one.unionByName(held.where("NOT words")).select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand in a document of smaller doc_id."""
-    return suffixes.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Documents without the passages that stand in a document of smaller doc_id; n_chars, where it is there, is that of what is left.
+
+    Rows of equal doc_id do not take from each other; a null doc_id counts as the largest.
+    """
+    left = suffixes.without_repeats(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenized pieces, packed into sequences."""
+    """Tokenized pieces, packed into sequences; an empty text is one piece, its end id."""
     return packing.pack(packing.pieces(docs))
 
 

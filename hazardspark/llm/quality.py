@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import table
+from hazardspark.llm.common import release, table
 
 SAMPLE, VOCABULARY, FORMS, WIDTH, NONZERO, NEAR = 6000, 30_000, 4000, 64, 6, 2
 HIDDEN, EPOCHS, RATE, DECAY, BATCH, SEED = 32, 60, 0.01, 1e-4, 128, 7
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
@@ -232,6 +232,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, st
                 z = _forward(np.stack([reader.pooled(t) for t in texts]).astype(np.float64), m.layers)[1] / m.temperature
                 p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*names, *into])
+        del reader
+        release(None)
 
     return docs.mapInArrow(run, schema)
 

@@ -70,3 +70,21 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     assert ids.count(1) == 1 and ids.count(2) + ids.count(None) == 2
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
+def test_odd_rows_in_every_stage(spark, tmp_path):
+    docs, labels = corpus()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = docs[:60] + [docs[1], docs[1], (1, docs[1][1] + " extra"), (7, docs[1][1] + " extra"), (None, docs[2][1]), (None, None), (900, "long " * 30_000), (901, None), (902, "")]
+    clash = ["block", "bucket", "_key", "_text", "_score", "_predicted", "row", "rest", "score", "predicted", "key", "id", "first_id", "cls", "piece", "length", "at"]
+    made = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("'en' AS lang", "*", *(f"{i} AS `{c}`" for i, c in enumerate(clash)))
+    kept = made
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.materialize(stage(spark, kept, str(tmp_path)), "stage")
+        assert kept.schema.simpleString() == made.schema.simpleString()
+        assert all([r[c] for c in clash] == list(range(len(clash))) for r in kept.collect())
+    assert corpus_pipeline.pack(spark, kept, str(tmp_path)).count() >= kept.count()
+    one = corpus_pipeline.keep_one_of_alike(spark, made, str(tmp_path)).collect()
+    ids = [r.doc_id for r in one]
+    assert ids.count(1) == 1 and 7 in ids and [r.text for r in one if r.doc_id == 7] == [docs[7][1]]
+    assert sum(r.text is None or r.text == "" for r in one) == 3 and ids.count(None) == 1 and ids.count(2) == 1
