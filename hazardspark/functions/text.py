@@ -10,18 +10,27 @@ from pyspark.sql import functions as F
 _HIGH = bytes(range(0x80, 0x100))
 
 
-def _accents() -> tuple[str, str]:
-    """Letters up to U+024F with a mark, and the same without, from Unicode's decompositions."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFKD", chr(c))) > 1 and unicodedata.normalize("NFKD", chr(c))[0].isascii() and unicodedata.normalize("NFKD", chr(c))[0].isalpha() and all(map(unicodedata.combining, unicodedata.normalize("NFKD", chr(c))[1:]))]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _compatible() -> tuple[str, str, dict[str, str]]:
+    """Signs that Unicode's compatible decomposition writes in plain letters or digits: one for one, and one for several."""
+    one, several = {}, {}
+    for c in map(chr, range(0xA0, 0x10000)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and plain.isascii() and plain.isalnum():
+            (one if len(plain) == 1 else several)[c] = plain
+    letters = {c: p for c, p in several.items() if p.isalpha() and (ord(c) < 0x250 or 0xFB00 <= ord(c) < 0xFB07)}  # ligatures and digraphs
+    return "".join(one), "".join(one.values()), letters
 
 
-_MARKED, _PLAIN = _accents()
+_MARKED, _PLAIN, _LIGATURES = _compatible()
 
 
 def strip_accents(c: Column) -> Column:
-    """Latin letters without their marks, composed or written as marks of their own."""
-    return F.regexp_replace(F.translate(c, _MARKED, _PLAIN), r"[̀-ͯ]", "")
+    """Letters and digits without their marks, composed or written as marks of their own; º, ², ligatures and wide forms in plain letters."""
+    c = F.regexp_replace(F.translate(c, _MARKED, _PLAIN), r"[\u0300-\u036f]", "")
+    whole = c
+    for sign, plain in _LIGATURES.items():
+        whole = F.replace(whole, F.lit(sign), F.lit(plain))
+    return F.when(c.rlike(f"[{''.join(_LIGATURES)}]"), whole).otherwise(c)
 
 
 def normalise(c: Column) -> Column:
@@ -38,3 +47,10 @@ def title_case(c: Column) -> Column:
 def from_cp850(c: Column) -> Column:
     """Text of code page 850 that was read as Latin-1."""
     return F.translate(c, _HIGH.decode("latin-1"), _HIGH.decode("cp850"))
+
+
+def from_cp1252(c: Column) -> Column:
+    """Text of code page 1252 that was read as Latin-1; left as it is where it has bytes that the page lacks."""
+    known = [bytes([b]) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+    lacking = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]) not in known)
+    return F.when(c.rlike(f"[{lacking}]"), c).otherwise(F.translate(c, b"".join(known).decode("latin-1"), b"".join(known).decode("cp1252")))

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from hazardspark.functions.text import normalise
 from hazardspark.operators import climate, matching
 from hazardspark.sources import municipalities, stations
 
@@ -45,12 +46,32 @@ def test_station_files(spark, tmp_path):
     assert kept.count() == 4 and tuple(counted.first()) == (4, 1)
 
 
-def test_parts_of_the_parser():
-    assert stations._value("-22,5") == -22.5 and stations._value("x") is None
-    with pytest.raises(stations.BadStation):
-        stations.header("REGIAO:;SE\nUF:;\n")
-    with pytest.raises(stations.BadStation):
-        stations.find_columns(["Data", "outra"])
+def test_why_a_file_is_bad(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("REGIAO:;SE\nUF:;\nESTACAO:;X\n")
+    (tmp_path / "b.csv").write_text(station(head="Data;outra"))
+    (tmp_path / "c.csv").write_text("\n")
+    why = {r.arquivo[-5:]: r.motivo for r in stations.split(stations.read(spark, str(tmp_path)))[1].collect()}
+    assert why == {"a.csv": "the header lacks uf", "b.csv": "no column for precipitacao", "c.csv": "the header lacks uf"}
+
+
+def test_dates_in_mixed_forms(spark, tmp_path):
+    mixed = "\n".join(x.replace("-", "/") if i % 2 and x.startswith("2020") else x for i, x in enumerate(station("MISTA").split("\n")))
+    (tmp_path / "a.csv").write_text(mixed)
+    third = ("{:02d}/01/20", "2020-01-{:02d}", "{:02d}-01-2020")
+    days = [third[i % 3].format(i % 28 + 1) for i in range(84)]
+    lines = station("SOLTA").split("\n")[:9] + [f"{d};0000 UTC;-0,5;1.5;-9999;2,5" for d in days] + ["", "x;y;z"]
+    (tmp_path / "b.csv").write_text("\ufeff" + "\r\n".join(lines), encoding="utf-8")
+    got = stations.split(stations.read(spark, str(tmp_path)))[0]
+    one, two = (got.where(F.col("estacao") == n).collect() for n in ("MISTA", "SOLTA"))
+    assert len(one) == 72 and {r.data.isoformat() for r in one} == {f"2020-01-0{i}" for i in (1, 2, 3)}
+    assert sorted(r.data.isoformat() for r in two) == sorted(f"2020-01-{i % 28 + 1:02d}" for i in range(84))
+    assert {(r.precipitacao, r.temperatura, r.umidade, r.rajada, r.latitude) for r in two} == {(0.0, 1.5, None, 2.5, -22.50472222)}
+
+
+def test_compatible_letters(spark):
+    words = [("Vila 1\u00ba", "vila 1o"), ("\ufb01m\u00b2", "fim2"), ("\uff21b \u00c7e\u0301", "ab ce"), ("\u0132sel", "ijsel")]
+    rows = spark.createDataFrame([(a,) for a, _ in words], "a string")
+    assert [r[0] for r in rows.select(normalise(F.col("a"))).collect()] == [b for _, b in words]
 
 
 def towns_file(tmp_path):
