@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import materialize, partitions
+from hazardspark.llm.common import kept, materialize, partitions
 
 #: Bytes of text in a block.
 BLOCK = 8 << 20
@@ -89,6 +89,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 
 def unpack(rows: pa.Table) -> pa.Table:
     """The rows of a block: doc_id, text, the carried columns and block; none without rows."""
+    kept(None, None)  # what other operators left in this worker
     parts = [pa.ipc.open_stream(x).read_all() for x in rows.column("packed").to_pylist()]
     return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "block": pa.array([], pa.int32())})
 

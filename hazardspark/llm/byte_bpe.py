@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import slices, table
+from hazardspark.llm.common import kept, slices, table
 
 #: Entries that a worker remembers between stretches, and characters in a stretch.
 REMEMBERED, STRETCH = 700_000, 4_000_000
@@ -122,16 +122,9 @@ class ByteBPE:
         return b"".join(map(self.names.__getitem__, ids))
 
 
-_built: dict = {}
-
-
 def _codec(content, pattern: str) -> ByteBPE:
     """One codec for each worker process."""
-    key = (content.value, pattern)
-    if key not in _built:
-        _built.clear()
-        _built[key] = ByteBPE(*key)
-    return _built[key]
+    return kept(("byte_bpe", content.value, pattern), lambda: ByteBPE(content.value, pattern))
 
 
 def _vocabulary(spark: SparkSession, path: str | None):

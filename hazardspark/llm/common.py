@@ -65,6 +65,21 @@ except (AttributeError, OSError, TypeError):  # other C libraries
     _trim = None
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a worker keeps between tasks, of one operator at a time; None drops it."""
+    if key not in _kept:
+        if _kept:
+            _kept.clear()
+            release(None)
+        if key is None:
+            return None
+        _kept[key] = make()
+    return _kept[key]
+
+
 def slices(sizes, limit: int):
     """(start, stop) of consecutive rows whose sizes add up to about ``limit``."""
     start = total = 0

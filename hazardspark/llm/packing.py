@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hazardspark.llm.common import materialize, slices, table
+from hazardspark.llm.common import kept, materialize, slices, table
 
 LIMIT, END, GROUP = 2048, 0, 50_000
 REMEMBERED, STRETCH = 300_000, 2_000_000
@@ -144,14 +144,8 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
 
-_built: dict = {}
-
-
 def _encoder(content) -> Encoder:
-    if content.value not in _built:
-        _built.clear()
-        _built[content.value] = Encoder(content.value)
-    return _built[content.value]
+    return kept(("packing", content.value), lambda: Encoder(content.value))
 
 
 def pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end: int = END) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import release, table
+from hazardspark.llm.common import kept, release, table
 
 SAMPLE, VOCABULARY, FORMS, WIDTH, NONZERO, NEAR = 6000, 30_000, 4000, 64, 6, 2
 HIDDEN, EPOCHS, RATE, DECAY, BATCH, SEED = 32, 60, 0.01, 1e-4, 128, 7
@@ -222,6 +222,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, st
     schema = docs.select(*names).withColumn(into[0], F.lit(0.0)).withColumn(into[1], F.lit(0)).schema
 
     def run(batches):
+        kept(None, None)
         m = sent.value
         reader = Reader(m)
         for batch in batches:

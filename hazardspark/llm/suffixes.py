@@ -45,9 +45,9 @@ from pyspark.sql import functions as F
 from hazardspark.llm import blocks
 from hazardspark.llm.common import partitions, release, table
 
-LENGTH, RUN, STRETCH, WIDTH = 50, 24, 1 << 20, 6
+LENGTH, RUN, STRETCH, WIDTH = 50, 24, 1 << 19, 6
 #: Bytes of text in a block, blocks that make a lead hot, suffixes drawn for each bucket to find splitters, windows sorted at once.
-BLOCK, HOT, DRAWN, AT_ONCE = 4 << 20, 32, 64, 1 << 18
+BLOCK, HOT, DRAWN, AT_ONCE = 4 << 20, 32, 64, 1 << 17
 #: Strings that one suffix may stand for, bytes before it in the farthest, words of a suffix as sent.
 SPAN = LENGTH - RUN + 1
 BACK, WORDS = SPAN - 1, -(-(LENGTH + SPAN + 1) // 8)
