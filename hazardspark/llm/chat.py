@@ -12,8 +12,8 @@ the part's own start. Participants are found by their own small aggregation.
 Defined results: a null role is the speaker ``unknown``, null text is empty; turns are
 ordered by turn, then role, then text, so repeated turns all stay; turns without number
 are a part of their own (part null); rows without conv_id are one dialogue; a dialogue
-of the system alone has no participants and gives no rows; ``<|`` in a text is written
-``< |``, so marks come from the template alone; other columns are ignored; an empty
+of the system alone has no participants and gives no rows; ``<|`` in a text or role is
+written ``< |``, and a line end in a role is a blank, so marks come from the template alone; other columns are ignored; an empty
 table gives no rows.
 """
 
@@ -32,6 +32,10 @@ def _head(role: Column, perspective: Column) -> Column:
     return F.concat(F.lit("<|im_start|>"), who, F.lit("\n"))
 
 
+def _safe(said: Column) -> Column:
+    return F.replace(said, F.lit("<|"), F.lit("< |"))
+
+
 def _spans(segments: Column) -> Column:
     """Start and end of each segment that is the perspective's own."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
@@ -48,7 +52,7 @@ def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
     """conv_id, part, perspective, n_turns, text, mask."""
     rows = turns.select(
         "conv_id", F.floor(F.col("turn") / part).cast("long").alias("part"), "turn",
-        F.coalesce("role", F.lit("unknown")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
+        _safe(F.regexp_replace(F.coalesce("role", F.lit("unknown")), "[\r\n]", " ")).alias("role"), _safe(F.coalesce("text", F.lit(""))).alias("text"),
     )
     parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     speakers = rows.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("role").alias("perspective")).distinct()
@@ -66,8 +70,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("mask", spelled)
 
 
-ORACLE_SQL = """
-WITH r AS (SELECT conv_id, CAST(floor(turn / 64.0) AS BIGINT) AS part, turn, coalesce(role, 'unknown') AS role,
+ORACLE_SQL = r"""
+WITH r AS (SELECT conv_id, CAST(floor(turn / 64.0) AS BIGINT) AS part, turn, replace(regexp_replace(coalesce(role, 'unknown'), '[\r\n]', ' ', 'g'), '<|', '< |') AS role,
                   replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 s AS (SELECT DISTINCT conv_id AS conv, role AS perspective FROM r WHERE role <> 'system'),
 t AS (SELECT r.*, s.perspective, row_number() OVER (PARTITION BY conv_id, part, perspective ORDER BY turn, role, text) AS n,

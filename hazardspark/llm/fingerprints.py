@@ -10,7 +10,7 @@ position, so that the least long of a window is the rightmost run of least hash
 2^24 words the count starts anew, which leaves only the choice among equal hashes open).
 
 ``with_next`` gives each row the row after it in descending order of doc_id without a
-global sort: rows are dealt into ranges of doc_id, and each range ends with a copy of
+global sort: rows are dealt into ranges of doc_id (by quantiles, so far ids do no harm), and each range ends with a copy of
 the first row of the range after it. There are at most ``RANGES`` ranges, so the table
 of their first rows has a fixed bound.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hazardspark.llm.blocks import block_of
 from hazardspark.llm.common import let, table
 
 RUN, SPAN = 5, 8
@@ -74,10 +75,9 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """doc_id, text, kept and next_text, next_kept: of the next row by descending doc_id."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.agg(F.min("doc_id").cast("double").alias("a"), F.max("doc_id").cast("double").alias("b"), F.count("*").alias("n")).first()
-    count = min(RANGES, max(1, -(-ids["n"] // rows)))
-    low, width = ids["a"] or 0.0, max(1.0, ((ids["b"] or 0.0) - (ids["a"] or 0.0) + 1) / count)
-    docs = docs.withColumn("range_no", F.coalesce(F.floor((F.col("doc_id").cast("double") - low) / width), F.lit(-1)))
+    count = min(RANGES, max(1, -(-docs.count() // rows)))
+    borders = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / count for i in range(1, count)], 0.1 / count) if count > 1 else []
+    docs = docs.withColumn("range_no", F.when(F.col("doc_id").isNull(), -1).otherwise(block_of(F.col("doc_id"), sorted({int(x) for x in borders}))).cast("long"))
     heads = docs.groupBy("range_no").agg(F.max("doc_id").alias("head"))
     order = Window.orderBy("range_no")  # over at most RANGES + 2 rows
     goes = F.coalesce(F.lead("range_no").over(order), F.min("range_no").over(Window.partitionBy()))

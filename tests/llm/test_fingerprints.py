@@ -77,3 +77,13 @@ def test_few_rows(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert fp.compare(docs).first().near_next == 1.0
     assert fp.compare(docs.limit(0)).count() == 0
+
+
+def test_ranges_are_even_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(fp, "ROWS", 100)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('word ', id) AS text").union(spark.range(1).selectExpr("cast(4000000000000 AS long)", "'far'"))
+    ranges = {}
+    monkeypatch.setattr(fp, "winnow", lambda text: F.array(F.col("range_no")))
+    for r in fp.with_next(docs, 100).select("kept").collect():
+        ranges[r.kept[0]] = ranges.get(r.kept[0], 0) + 1
+    assert len(ranges) >= 15 and max(ranges.values()) < 200
