@@ -6,6 +6,9 @@ deviation are kept. Two vectors' distance is at least the distance of these stat
 product of the statistics. Coarse to fine, candidates whose bound lies below a query's
 k-th best score so far fall out; for the survivors the exact score is computed.
 
+Every query first meets one block of candidates; the k-th best score found there is its
+floor, and goes with it to all other blocks. Only survivors are scored, pair by pair.
+
 Queries and candidates are dealt into blocks of about ``BLOCK_Q`` and ``BLOCK_C`` rows;
 each pair of blocks is one small group, so memory is bounded by two blocks and no row
 set is broadcast. Every group gives its k best for each query, and a last window
@@ -28,9 +31,9 @@ from pyspark.sql import functions as F
 from hazardspark.llm.common import table
 
 K, SCALE, EVERY = 20, 64, 20
-BLOCK_Q, BLOCK_C, STEP = 2048, 8192, 1024
+BLOCK_Q, BLOCK_C, STEP, PAIRS = 2048, 8192, 1024, 1 << 14
 #: Segments of each resolution, coarse to fine.
-LEVELS = (4, 16)
+LEVELS = (4, 16, 32)
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -43,42 +46,66 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def search(queries: np.ndarray, own: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int = K, levels: tuple[int, ...] = LEVELS):
-    """(query row, id, score) of each query's k best; ``own`` ids do not count for their query."""
+def _keep(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, best first, ties to smaller ids."""
+    order = np.lexsort((ids, -scores, row))
+    row = row[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, np.arange(rows))[row] < k
+    order = order[kept]
+    return row[kept], ids[order], scores[order]
+
+
+def search(queries: np.ndarray, own: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int = K, levels: tuple[int, ...] = LEVELS, floor: np.ndarray | None = None):
+    """(query rows, ids, scores) of each query's k best that reach its ``floor``, and how many pairs were scored exactly.
+
+    ``own`` ids do not count for their query. Of each step of candidates, a query that has
+    no k-th best yet scores the k of the highest bound first; then every candidate whose
+    bound reaches the k-th best is scored, and no other.
+    """
     ids, order = np.unique(ids, return_index=True)
     candidates = candidates[order]
     big = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * queries.shape[1]
-    kind = np.float64 if big < 2.0**52 else np.int64  # whole numbers are exact in either
+    kind = np.float32 if big < 2.0**23 else np.float64 if big < 2.0**52 else np.int64  # whole numbers are exact in each
     exact_q, exact_c = queries.astype(kind), candidates.astype(kind)
     q, c = queries.astype(np.float64), candidates.astype(np.float64)
     bounds = [(statistics(q, s), statistics(c, s)) for s in levels if s < q.shape[1]]
-    best = [(np.empty(0, kind), np.empty(0, np.int64)) for _ in range(len(q))]
-    least = np.full(len(q), -np.inf)
+    least = np.full(len(q), -np.inf) if floor is None else floor.astype(np.float64)
+    best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind)
+    scored = 0
+
+    def score(r: np.ndarray, at: np.ndarray) -> None:
+        nonlocal best, scored
+        scored += len(r)
+        found = [best]
+        for a in range(0, len(r), PAIRS):
+            rows, cols = r[a : a + PAIRS], at[a : a + PAIRS]
+            values = np.einsum("ij,ij->i", exact_q[rows], exact_c[cols])
+            good = values >= least[rows]
+            found.append((rows[good], ids[cols[good]], values[good]))
+        best = _keep(*(np.concatenate(x) for x in zip(*found, strict=True)), k, len(q))
+        full = np.flatnonzero(np.bincount(best[0], minlength=len(q)) == k)
+        least[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+
     for a in range(0, len(c), STEP):
         b = min(a + STEP, len(c))
-        alive = np.ones((len(q), b - a), bool)
+        alive = ids[None, a:b] != own[:, None]
+        bound = np.full(alive.shape, np.inf)
         for sq, sc in bounds:
             rows = np.flatnonzero(alive.any(1))
-            if not len(rows):
-                break
-            bound = sq[rows] @ sc[a:b].T
-            slack = 1e-9 * (np.abs(bound) + 1)
-            alive[rows] &= bound + slack >= least[rows, None]
-        rows = np.flatnonzero(alive.any(1))
-        if not len(rows):
-            continue
-        score = exact_q[rows] @ exact_c[a:b].T
-        for r, values in zip(rows, score, strict=True):
-            at = np.flatnonzero(alive[r] & (ids[a:b] != own[r]) & (values >= least[r]))
-            if not len(at):
-                continue
-            s = np.concatenate([best[r][0], values[at]])
-            i = np.concatenate([best[r][1], ids[a:b][at]])
-            keep = np.lexsort((i, -s))[:k]
-            best[r] = s[keep], i[keep]
-            if len(keep) == k:
-                least[r] = float(s[keep[-1]])
-    return best
+            bound[rows] = sq[rows] @ sc[a:b].T
+            bound[rows] += 1e-9 * (np.abs(bound[rows]) + 1)
+            alive[rows] &= bound[rows] >= least[rows, None]
+        new = np.flatnonzero(np.isneginf(least))
+        if len(new) and bounds and b - a > k:
+            first = np.argpartition(np.where(alive[new], -bound[new], np.inf), k - 1, axis=1)[:, :k]
+            r, at = np.repeat(new, k), first.ravel()
+            found = alive[r, at]
+            score(r[found], at[found] + a)
+            alive[r, at] = False
+            alive &= bound >= least[:, None]
+        r, at = np.nonzero(alive)
+        score(r, at + a)
+    return (*best, scored)
 
 
 def prepare(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -96,30 +123,44 @@ def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return rows.column("vec_id").to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
 
 
-def top_k(vectors: DataFrame, queries, k: int = K, scale: int = SCALE, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """``queries``: a condition on vec_id that marks the query rows."""
-    rows = prepare(vectors, scale)
-    counts = rows.agg(F.count("*").alias("c"), F.count_if(queries).alias("q")).first()
-    blocks_q, blocks_c = max(1, -(-counts["q"] // BLOCK_Q)), max(1, -(-counts["c"] // BLOCK_C))
-
-    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    left = dealt(rows.where(queries), "bq", blocks_q, "bc", blocks_c)
-    right = dealt(rows, "bc", blocks_c, "bq", blocks_q)
+def _run(k: int, levels: tuple[int, ...], seed: bool):
+    """Of a group of queries and one of candidates: each query's k best, or (``seed``) the queries with their k-th best as floor."""
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        found = []
+        own, x = _matrix(q) if q.num_rows else (np.empty(0, np.int64), None)
+        row, near, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         if q.num_rows and c.num_rows:
-            own, x = _matrix(q)
             ids, y = _matrix(c)
-            for query_id, (scores, near) in zip(own, search(x, own, y, ids, k, levels), strict=True):
-                found.append((np.full(len(near), query_id), near, scores.astype(np.int64)))
-        columns = [np.concatenate(c) if found else np.empty(0, np.int64) for c in (zip(*found, strict=True) if found else ((), (), ()))]
-        return pa.table(dict(zip(["query_id", "vec_id", "score"], map(pa.array, columns), strict=True)))
+            floor = q.column("floor").to_pandas().to_numpy(dtype=np.float64, na_value=-np.inf)  # exact to 2^53, below in ``top_k``
+            row, near, scores, _ = search(x, own, y, ids, k, levels, floor)
+        if not seed:
+            return pa.table({"query_id": pa.array(own[row], pa.int64()), "vec_id": pa.array(near, pa.int64()), "score": pa.array(scores.astype(np.int64))})
+        last = np.flatnonzero(np.bincount(row, minlength=q.num_rows) == k)
+        floors = np.zeros(q.num_rows, np.int64)
+        floors[last] = scores[np.searchsorted(row, last, "right") - 1].astype(np.int64)
+        return q.select(["vec_id", "v", "width"]).append_column("floor", pa.array(floors, pa.int64(), mask=~np.isin(np.arange(q.num_rows), last)))
+
+    return run
 
+
+def top_k(vectors: DataFrame, queries, k: int = K, scale: int = SCALE, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """``queries``: a condition on vec_id that marks the query rows."""
+    rows = prepare(vectors, scale)
+    counts = rows.agg(F.count("*").alias("c"), F.count_if(queries).alias("q")).first()
+    blocks_q, blocks_c = max(1, -(-counts["q"] // BLOCK_Q)), max(1, -(-counts["c"] // BLOCK_C))
+    block = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    over = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    others = rows.select(*(F.col(c).alias(c) for c in ("vec_id", "v", "width")))  # names of their own, so that cogroup keeps both sides
+    left = rows.where(queries).withColumn("bq", block(blocks_q)).withColumn("floor", F.lit(None).cast("long"))
+    if blocks_c > 1:
+        sample = others.where(block(blocks_c) == 0).withColumn("bq", over(blocks_q))
+        seeded = left.groupBy("bq", "width").cogroup(sample.groupBy("bq", "width")).applyInArrow(_run(k, levels, True), "vec_id long, v array<long>, width int, floor long")
+        left = seeded.withColumn("bq", block(blocks_q)).withColumn("floor", F.when(F.abs("floor") < 2**53, F.col("floor")))
+    left = left.withColumn("bc", over(blocks_c))
+    right = others.withColumn("bc", block(blocks_c)).withColumn("bq", over(blocks_q))
     keys = ["bq", "bc", "width"]
-    part = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+    part = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(_run(k, levels, False), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # Spark keeps each task's k best before the shuffle
     return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

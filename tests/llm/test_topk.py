@@ -38,3 +38,26 @@ def test_bounds_hold():
     x, y = rng.integers(-60, 60, (50, 64)).astype(float), rng.integers(-60, 60, (80, 64)).astype(float)
     for s in topk.LEVELS:
         assert (topk.statistics(x, s) @ topk.statistics(y, s).T + 1e-6 >= x @ y.T).all()
+
+
+def _scored(x, q, floor=None):
+    row, ids, scores, scored = topk.search(x[:q], np.arange(q), x, np.arange(len(x)), 5, topk.LEVELS, floor)
+    exact = x[:q] @ x.T
+    np.fill_diagonal(exact, -(10**9))
+    order = np.argsort(-exact, axis=1, kind="stable")[:, :5]
+    wanted = np.take_along_axis(exact, order, 1)
+    if floor is None:
+        assert (ids.reshape(q, 5) == order).all() and (scores.reshape(q, 5) == wanted).all()
+    else:
+        assert sorted(zip(row, ids, scores)) == sorted((r, i, s) for r in range(q) for i, s in zip(order[r], wanted[r]) if s >= floor[r])
+    return scored / (q * len(x))
+
+
+def test_share_of_pairs_scored_falls_on_clustered_vectors():
+    rng = np.random.default_rng(4)
+    loose = rng.integers(-20, 20, (4000, 64))
+    level = np.repeat(rng.integers(-40, 40, (8, 8)), 8, axis=1)
+    tight = level[rng.integers(0, 8, 4000)] + rng.integers(-3, 4, (4000, 64))
+    assert _scored(tight, 60) < 0.2 and _scored(tight, 60) < _scored(loose, 60) < 1
+    floor = np.sort(loose[:60] @ loose.T, axis=1)[:, -8].astype(float)
+    assert _scored(loose, 60, floor) < _scored(loose, 60)
