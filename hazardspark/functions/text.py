@@ -49,6 +49,11 @@ def from_cp850(c: Column) -> Column:
     return F.translate(c, _HIGH.decode("latin-1"), _HIGH.decode("cp850"))
 
 
+def to_cp850(c: Column) -> Column:
+    """Text whose Latin-1 bytes are those of code page 850."""
+    return F.translate(c, _HIGH.decode("cp850"), _HIGH.decode("latin-1"))
+
+
 def from_cp1252(c: Column) -> Column:
     """Text of code page 1252 that was read as Latin-1; left as it is where it has bytes that the page lacks."""
     known = [bytes([b]) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]

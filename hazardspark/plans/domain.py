@@ -15,14 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _places(spark: SparkSession, d: str) -> DataFrame:
+def places(spark: SparkSession, d: str) -> DataFrame:
     nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", F.col("n_regionkey").alias("r_regionkey"))
     return table(spark, d, "customer").join(nation, "c_nationkey").join(table(spark, d, "region").select("r_regionkey", "r_name"), "r_regionkey")
 
 
 def occurrences(spark: SparkSession, d: str) -> DataFrame:
     """Orders as occurrences in their customer's place."""
-    rows = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey").join(_places(spark, d), "c_custkey")
+    rows = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey").join(places(spark, d), "c_custkey")
     return rows.select(
         F.col("c_custkey").alias("codigo_ibge"), F.col("c_name").alias("municipio"), F.col("n_name").alias("uf"), F.col("r_name").alias("regiao"), F.year("o_orderdate").alias("ano"), F.month("o_orderdate").alias("mes"),
         F.col("o_orderpriority").alias("grupo_desastre"), (F.col("o_orderstatus") == "F").alias("reconhecido"), (F.col("o_totalprice") > 480000).cast("double").alias("mortos"),
@@ -61,7 +61,7 @@ def station_months(spark: SparkSession, d: str) -> DataFrame:
 
 
 def towns(spark: SparkSession, d: str) -> DataFrame:
-    return _places(spark, d).select(
+    return places(spark, d).select(
         F.col("c_custkey").alias("codigo_ibge"), F.col("c_name").alias("municipio"), normalise(F.col("c_name")).alias("nome_busca"), F.col("r_name").alias("uf"),
         F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("regiao_imediata"), F.col("c_nationkey").cast("long").alias("regiao_intermediaria"),
     )

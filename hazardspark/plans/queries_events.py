@@ -18,7 +18,7 @@ def _six(rows, *names):
     return rows.withColumns({n: F.round(n, 6) for n in names})
 
 
-def _register(spark, d):
+def register(spark, d):
     """Orders written the way the register writes them, with its faults."""
     rows = domain.table(spark, d, "orders")
     k = F.col("o_orderkey")
@@ -111,7 +111,7 @@ SELECT h.codigo_ibge, h.grupo_desastre, h.ano, h.mes, ocorrencias_12m, ocorrenci
 
 QUERIES = {
     "p1_p7_clean_register": (
-        lambda s, d: events.clean(_register(s, d)),
+        lambda s, d: events.clean(register(s, d)),
         """WITH r AS (SELECT *, o_orderkey AS k, CASE o_orderpriority WHEN '1-URGENT' THEN 'INUNDACAO' WHEN '2-HIGH' THEN 'VENDAVAL_CICLONE' WHEN '4-NOT SPECIFIED' THEN 'EROSAO' WHEN '5-LOW' THEN 'GRANIZO' END AS g FROM orders)
         SELECT o_custkey AS codigo_ibge, 'Cidade ' || o_custkey AS municipio, 'SP' AS uf, CASE WHEN k % 2 = 0 THEN 'Centro-Oeste' ELSE 'Sul' END AS regiao, CAST(year(o_orderdate) AS INTEGER) AS ano, CAST(month(o_orderdate) AS INTEGER) AS mes,
           g AS grupo_desastre, o_orderstatus = 'F' AS reconhecido, CASE WHEN k % 5 = 0 THEN 0.0 ELSE CAST(greatest(k % 7 - 2, 0) AS DOUBLE) END AS mortos, CAST(k % 100 AS DOUBLE) AS afetados, k % 1000 + 0.5 AS prejuizo
