@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazardspark.contract import Rule
-from hazardspark.operators import directory, history, inference, metrics, monthly, quality, scoring, splits, training
-from hazardspark.plans import domain
+from hazardspark.operators import directory, features, history, inference, metrics, monthly, quality, scoring, splits, training
+from hazardspark.plans import domain, queries_events
 from hazardspark.plans.domain import LAB, MON, OCC, RDG
 from hazardspark.sources import geo
 
@@ -132,6 +132,12 @@ def _design(spark, d):
     return rows.agg(*(F.round(F.sum(F.abs(F.col(f"`{c}`"))), 3).alias(c.replace("-", "_").replace(" ", "_").lower()) for c in names))
 
 
+_DESIGN = f"WITH {MON}, h AS (" + queries_events._EXACT.replace("round(ln(1 + coalesce(sum(e.prejuizo), 0)), 6)", "ln(1 + coalesce(sum(e.prejuizo), 0))") + "), r AS (SELECT h.*, m.regiao FROM h JOIN mon m USING (codigo_ibge, grupo_desastre, indice_mes)), s AS (SELECT " + ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(NUMBERS)) + " FROM r) SELECT " + ", ".join(
+    [f"round(sum(abs(({c} - m{i}) / s{i})), 3) AS {c}" for i, c in enumerate(NUMBERS)]
+    + [f"CAST(count(*) FILTER ({c} = '{v}') AS DOUBLE) AS " + f"{c}_{v}".replace("-", "_").replace(" ", "_").lower() for c, vs in (("regiao", ("AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")), ("grupo_desastre", ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))) for v in vs]
+) + " FROM r, s"
+
+
 def _odds(spark, d):
     return inference.export(inference.odds(_design_rows(spark, d), "gravidade", numeric=NUMBERS)["tabela"])
 
@@ -141,6 +147,57 @@ def _sentences(spark, d):
     return inference.sentences(found["tabela"], found["desvios_padrao"]).select("variavel", "frase")
 
 
+def _by_region(spark, d, analysis="gravidade"):
+    """The analysis with the region alone: a saturated model, whose estimates are counts' odds."""
+    return inference.odds(domain.labelled(spark, d).select("regiao", "nivel_risco"), analysis, numeric=[])
+
+
+def _region_odds(spark, d):
+    rows = _by_region(spark, d)["tabela"]
+    return _six(rows, "coeficiente", "erro_padrao", "odds_ratio", "ic95_inferior", "ic95_superior", "p_valor", "forca").select("variavel", "coeficiente", "erro_padrao", "odds_ratio", "ic95_inferior", "ic95_superior", "p_valor", "forca", "significativo", "confiavel")
+
+
+def _region_top(spark, d):
+    return inference.export(_by_region(spark, d)["tabela"], 2).select("variavel", "odds_ratio")
+
+
+def _region_summary(spark, d):
+    found = _by_region(spark, d, "ocorrencia")
+    names = ("analise", "n_amostras", "n_eventos", "linhas_incompletas", "taxa_evento", "auc")
+    return _six(spark.createDataFrame([tuple(found[n] for n in names)], "analise string, n_amostras long, n_eventos long, linhas_incompletas long, taxa_evento double, auc double"), "taxa_evento", "auc")
+
+
+def _region_sentences(spark, d):
+    found = _by_region(spark, d)
+    return inference.sentences(found["tabela"], found["desvios_padrao"]).select("variavel", "frase")
+
+
+#: Estimates of the saturated model: counts of events and others, by region against the first.
+_REGIONS = f"""WITH {LAB}, t AS (SELECT regiao, count(*) FILTER (nivel_risco = 'alto') AS e, count(*) FILTER (nivel_risco <> 'alto') AS o FROM lab GROUP BY regiao),
+f AS (SELECT * FROM t ORDER BY regiao LIMIT 1), b AS (SELECT 'regiao_' || t.regiao AS variavel, ln((t.e / t.o) / (f.e / f.o)) AS b, sqrt(1 / t.e + 1 / t.o + 1 / f.e + 1 / f.o) AS s FROM t, f WHERE t.regiao > f.regiao),
+i AS (SELECT *, exp(b) AS odds, exp(b - 1.96 * s) AS low, exp(b + 1.96 * s) AS high, abs(b / s) / 2000 AS h FROM b),
+p AS (SELECT *, low > 1 OR high < 1 AS clear, greatest(0, 1 - sqrt(2 / pi()) * h / 3 * list_sum(list_transform(range(0, 2001), lambda j: (CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * exp(-(j * h) * (j * h) / 2)))) AS p FROM i)"""
+
+
+def _incomplete(spark, d):
+    rows = domain.labelled(spark, d).withColumns({"afetados": F.when(F.col("mes") != 3, F.col("afetados")), "vazia": F.lit(None).cast("double"), "_event": inference.OUTCOMES["ocorrencia"](F.col("nivel_risco")).cast("long")})
+    designed, names, _ = inference.design(rows, ["afetados", "vazia"], ("regiao",))
+    whole, names, lost = inference.complete(designed, names)
+    return whole.agg(F.count("*").alias("linhas"), F.sum("_event").alias("eventos"), F.round(F.sum(F.abs("afetados")), 4).alias("desvios")).withColumns({"perdidas": F.lit(lost).cast("long"), "colunas": F.lit(len(names))})
+
+
+def _inflation(spark, d):
+    """The worst inflated of three columns."""
+    _, dropped = inference.without_collinear(domain.labelled(spark, d).select(*(F.col(c).cast("double").alias(c) for c in ("afetados", "mortos", "ano"))), ["afetados", "mortos", "ano"], 0.0)
+    return _six(spark.createDataFrame(dropped[:1], "coluna string, inflacao double"), "inflacao")
+
+
+def _fills(spark, d):
+    rows = domain.labelled(spark, d).select(F.when(F.col("mes") != 3, F.col("afetados")).alias("afetados"), F.when(F.col("mes") != 4, F.col("uf")).alias("uf"), "regiao")
+    filled = features.Fills(rows, ["afetados"], ["uf"]).apply(rows)
+    return filled.groupBy("uf", "regiao").agg(F.count("*").alias("n"), F.round(F.sum("afetados"), 3).alias("afetados"))
+
+
 def _forest_rows(spark, d):
     return _design_rows(spark, d).withColumns({"ano": F.floor(F.col("indice_mes") / 12).cast("int") + 1900, "mes": F.pmod("indice_mes", F.lit(12)) + 1})
 
@@ -245,7 +302,38 @@ QUERIES = {
         _SHAPED + ", l AS (SELECT codigo_ibge, max_by(nivel, printf('%06d', indice_mes) || grupo_desastre) AS nivel FROM s GROUP BY ALL), j AS (SELECT coalesce(l.nivel, 'sem-dado') AS nivel FROM customer c LEFT JOIN l ON l.codigo_ibge = c.c_custkey + 3) "
         "SELECT nivel, CASE nivel WHEN 'baixo' THEN '#2E7D32' WHEN 'medio' THEN '#F9A825' WHEN 'alto' THEN '#C62828' ELSE '#BDBDBD' END AS cor, count(*) AS n FROM j GROUP BY nivel",
     ),
-    "o1_design_matrix": (_design, None),
+    "o1_design_matrix": (_design, _DESIGN),
+    "o2_o3_complete_cases": (
+        _incomplete,
+        f"WITH {LAB}, k AS (SELECT *, CASE WHEN mes <> 3 THEN afetados END AS a FROM lab), m AS (SELECT avg(a) AS m, stddev_pop(a) AS s FROM k) SELECT count(a) AS linhas, CAST(count(*) FILTER (a IS NOT NULL AND nivel_risco <> 'baixo') AS BIGINT) AS eventos, round(sum(abs((a - m.m) / m.s)), 4) AS desvios, "
+        "count(*) - count(a) AS perdidas, CAST(count(DISTINCT regiao) AS INTEGER) AS colunas FROM k, m",
+    ),
+    "o4_o5_worst_inflation": (
+        _inflation,
+        f"WITH {LAB}, r AS (SELECT corr(afetados, mortos) AS am, corr(afetados, ano) AS ay, corr(mortos, ano) AS my FROM lab), d AS (SELECT *, 1 + 2 * am * ay * my - am * am - ay * ay - my * my AS det FROM r), "
+        "v AS (SELECT 'afetados' AS coluna, (1 - my * my) / det AS v FROM d UNION ALL SELECT 'mortos', (1 - ay * ay) / det FROM d UNION ALL SELECT 'ano', (1 - am * am) / det FROM d) SELECT coluna, round(v, 6) AS inflacao FROM v ORDER BY v DESC LIMIT 1",
+    ),
+    "o6_o8_region_odds": (
+        _region_odds,
+        _REGIONS + " SELECT variavel, round(b, 6) AS coeficiente, round(s, 6) AS erro_padrao, round(odds, 6) AS odds_ratio, round(low, 6) AS ic95_inferior, round(high, 6) AS ic95_superior, round(p, 6) AS p_valor, round(abs(b), 6) AS forca, clear AS significativo, true AS confiavel FROM p",
+    ),
+    "t5_strongest_region": (_region_top, _REGIONS + " SELECT variavel, round(odds, 4) AS odds_ratio FROM p ORDER BY abs(b) DESC, variavel LIMIT 2"),
+    "o10_region_summary": (
+        _region_summary,
+        f"WITH {LAB}, t AS (SELECT regiao, count(*) FILTER (nivel_risco <> 'baixo') AS e, count(*) FILTER (nivel_risco = 'baixo') AS o FROM lab GROUP BY regiao), n AS (SELECT sum(e) AS e, sum(o) AS o FROM t), "
+        "a AS (SELECT sum(x.e * y.o * CASE WHEN x.e / (x.e + x.o) > y.e / (y.e + y.o) THEN 1.0 WHEN x.regiao = y.regiao THEN 0.5 ELSE 0 END) AS wins FROM t x, t y) "
+        "SELECT 'ocorrencia' AS analise, CAST(e + o AS BIGINT) AS n_amostras, CAST(e AS BIGINT) AS n_eventos, CAST(0 AS BIGINT) AS linhas_incompletas, round(e / (e + o), 6) AS taxa_evento, round(wins / (e * o), 6) AS auc FROM n, a",
+    ),
+    "o10_region_sentences": (
+        _region_sentences,
+        _REGIONS + " SELECT variavel, CASE WHEN NOT clear THEN printf('%s: sem efeito claro, p de %.3f', variavel, p) WHEN odds >= 1 THEN printf('%s: chance %.2f vezes maior, frente ao nível de base', variavel, odds) "
+        "ELSE printf('%s: chance %.0f%% menor (razão %.2f), frente ao nível de base', variavel, (1 - odds) * 100, odds) END AS frase FROM p",
+    ),
+    "m1_fills": (
+        _fills,
+        f"WITH {LAB}, k AS (SELECT CASE WHEN mes <> 3 THEN afetados END AS a, CASE WHEN mes <> 4 THEN uf END AS u, regiao FROM lab), m AS (SELECT (SELECT median(a) FROM k) AS a, (SELECT u FROM k WHERE u IS NOT NULL GROUP BY u ORDER BY count(*) DESC, u LIMIT 1) AS u) "
+        "SELECT coalesce(k.u, m.u) AS uf, regiao, count(*) AS n, round(sum(coalesce(k.a, m.a)), 3) AS afetados FROM k, m GROUP BY ALL",
+    ),
     "o2_o8_odds_ratios": (_odds, None),
     "o10_sentences": (_sentences, None),
     "m2_m13_forest_scores": (_forest, None),
