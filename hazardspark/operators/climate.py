@@ -23,15 +23,19 @@ def without_sentinel(readings: DataFrame, columns: tuple[str, ...] = ("precipita
     return readings.withColumns(kept)
 
 
+def daily(readings: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key's days: rain (0 where there is none), sums and counts of the means, strongest gust, hours."""
+    return readings.groupBy(*keys, F.to_date("data").alias("dia")).agg(
+        F.coalesce(F.sum("precipitacao"), F.lit(0.0)).alias("chuva"), F.sum("precipitacao").alias("chuva_ou_nada"), F.sum("temperatura").alias("t"), F.count("temperatura").alias("tn"),
+        F.sum("umidade").alias("u"), F.count("umidade").alias("un"), F.max("rajada").alias("rajada"), F.count("*").alias("horas"), F.count("precipitacao").alias("validas"),
+    )
+
+
 def monthly(readings: DataFrame, station: list[str] = ("estacao", "uf", "codigo_estacao")) -> DataFrame:
     """Monthly measures of each station: first by day, then by month, one shuffle for both."""
     keys = [*station, "ano", "mes"]
     rows = readings.withColumns({"ano": F.year("data"), "mes": F.month("data")})
-    daily = rows.groupBy(*keys, F.to_date("data").alias("dia")).agg(
-        F.coalesce(F.sum("precipitacao"), F.lit(0.0)).alias("chuva"), F.sum("precipitacao").alias("chuva_ou_nada"), F.sum("temperatura").alias("t"), F.count("temperatura").alias("tn"),
-        F.sum("umidade").alias("u"), F.count("umidade").alias("un"), F.max("rajada").alias("rajada"), F.count("*").alias("horas"), F.count("precipitacao").alias("validas"),
-    )
-    rolled = daily.groupBy(*keys).agg(
+    rolled = daily(rows, keys).groupBy(*keys).agg(
         F.coalesce(F.sum("chuva_ou_nada"), F.lit(0.0)).alias("chuva_total_mm"), F.max("chuva").alias("chuva_max_dia_mm"), F.count_if(F.col("chuva") >= WET).alias("dias_com_chuva"),
         (F.sum("t") / F.nullif(F.sum("tn"), F.lit(0))).alias("temperatura_media_c"), (F.sum("u") / F.nullif(F.sum("un"), F.lit(0))).alias("umidade_media_pct"),
         (F.max("rajada") * KMH).alias("rajada_max_kmh"), F.sum("horas").alias("horas_registradas"), F.sum("validas").alias("horas_validas"),

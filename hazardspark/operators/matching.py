@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazardspark.functions.storage import written
 from hazardspark.functions.text import normalise
 
 LEVELS = ["municipio", "regiao_imediata", "regiao_intermediaria", "uf"]
@@ -31,23 +30,33 @@ def match(stations: DataFrame, towns: DataFrame) -> DataFrame:
 
 
 def spread(months: DataFrame, matched: DataFrame, towns: DataFrame) -> DataFrame:
-    """Monthly climate of every municipality that any level serves, with its source.
+    """Monthly climate of every municipality that any level serves, with its source; an error if none does.
 
     Whether a level serves a municipality is decided over all months; the state's level
-    takes every station of the state, matched or not.
+    takes every station of the state, matched or not. All four levels are rolled up at
+    once and written; the level of a municipality is then a matter of the keys alone.
     """
-    places = towns.select("codigo_ibge", F.col("codigo_ibge").cast("string").alias("municipio"), "regiao_imediata", "regiao_intermediaria", F.col("uf").alias("estado"))
+    places = towns.select("codigo_ibge", _keys(towns).alias("_keys"))
     own = months.join(matched.select("estacao", "uf", "codigo_ibge").distinct(), ["estacao", "uf"], "left")
-    own = own.join(places.drop("estado"), "codigo_ibge", "left").withColumn("estado", F.col("uf"))
-    parts, left = [], places
-    for level in LEVELS:
-        key = "estado" if level == "uf" else level
-        rolled = own.where(F.col(key).isNotNull()).groupBy(key, "ano", "mes").agg(
-            *(F.avg(c).alias(c) for c in MEANS), *(F.max(c).alias(c) for c in PEAKS), F.countDistinct("estacao", "uf").alias("estacoes_usadas")
-        )
-        parts.append(left.select("codigo_ibge", key).join(rolled, key).withColumn("fonte_clima", F.lit(level)).drop(key))
-        left = left.join(rolled.select(key).distinct(), key, "left_anti")
-    return reduce(DataFrame.unionByName, parts)
+    own = own.join(towns.select("codigo_ibge", "regiao_imediata", "regiao_intermediaria"), "codigo_ibge", "left")
+    each = own.withColumn("_k", F.explode(_keys(own))).where("_k.chave IS NOT NULL")
+    rolled = each.groupBy("_k", "ano", "mes").agg(*(F.avg(c).alias(c) for c in MEANS), *(F.max(c).alias(c) for c in PEAKS), F.countDistinct("estacao", "uf").alias("estacoes_usadas"))
+    rolled = written(rolled, "levels")
+    if rolled.isEmpty():
+        raise ValueError("no station serves a municipality or a state")
+    served = places.withColumn("_k", F.explode("_keys")).join(rolled.select("_k").distinct(), "_k").groupBy("codigo_ibge").agg(F.min("_k").alias("_k"))
+    return served.join(rolled, "_k").withColumn("fonte_clima", F.element_at(F.lit(LEVELS), F.col("_k.nivel"))).drop("_k")
+
+
+def _keys(rows: DataFrame) -> Column:
+    """A row's key at each level, the narrowest first."""
+    keys = ("codigo_ibge", "regiao_imediata", "regiao_intermediaria", "uf")
+    return F.array(*(F.struct(F.lit(i).alias("nivel"), F.col(k).cast("string").alias("chave")) for i, k in enumerate(keys, 1)))
+
+
+def unserved(climate: DataFrame, towns: DataFrame) -> DataFrame:
+    """How many municipalities no level serves."""
+    return towns.join(climate.select("codigo_ibge").distinct(), "codigo_ibge", "left_anti").agg(F.count("*").alias("sem_clima"))
 
 
 def coverage(matched: DataFrame, towns: DataFrame) -> DataFrame:

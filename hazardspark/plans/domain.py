@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazardspark.functions.storage import written
 from hazardspark.functions.text import normalise
 from hazardspark.operators import climate, matching, monthly
 
@@ -76,7 +77,10 @@ def matched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def town_climate(spark: SparkSession, d: str) -> DataFrame:
-    return matching.spread(climate.sound(station_months(spark, d))[0], matched(spark, d), towns(spark, d))
+    """Stations are told from their months, which are written once."""
+    held = written(station_months(spark, d), "station-months")
+    found = matching.match(held.select("estacao", "uf").distinct(), towns(spark, d))
+    return matching.spread(climate.sound(held)[0], found, towns(spark, d))
 
 
 #: The same tables as DuckDB common table expressions, in the order of their use.

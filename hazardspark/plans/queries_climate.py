@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hazardspark.functions.storage import written
 from hazardspark.operators import climate, matching
 from hazardspark.plans import domain
 from hazardspark.plans.domain import MAT, MON, RDG, SPR, STM
@@ -17,9 +18,13 @@ def _six(rows, *names):
     return rows.withColumns({n: F.round(n, 6) for n in names})
 
 
+def _event_readings(spark, d):
+    return domain.table(spark, d, "events").select("user_id", F.col("ts").alias("data"), F.col("value").alias("precipitacao"), *(F.lit(None).cast("double").alias(c) for c in ("temperatura", "umidade", "rajada")))
+
+
 def _known(spark, d):
     targets = domain.months(spark, d).select("codigo_ibge", "grupo_desastre", "indice_mes")
-    towns = domain.town_climate(spark, d)
+    towns = written(domain.town_climate(spark, d), "town-climate")
     return climate.known_before(targets, towns, climate.normals(towns, ["codigo_ibge"], *NORMAL))
 
 
@@ -41,8 +46,8 @@ QUERIES = {
         f"WITH {RDG} SELECT estacao, count(*) AS n, count(precipitacao) AS validas, min(precipitacao) AS menor FROM rdg GROUP BY estacao",
     ),
     "a4_daily_events": (
-        lambda s, d: domain.table(s, d, "events").groupBy("user_id", F.to_date("ts").alias("dia")).agg(F.round(F.sum("value"), 4).alias("chuva"), F.count_if(F.col("value") >= 1).alias("molhadas")),
-        "SELECT user_id, CAST(ts AS DATE) AS dia, round(sum(value), 4) AS chuva, count(*) FILTER (value >= 1) AS molhadas FROM events GROUP BY ALL",
+        lambda s, d: climate.daily(_event_readings(s, d), ["user_id"]).select("user_id", "dia", F.round("chuva", 4).alias("chuva"), "horas", "validas"),
+        "SELECT user_id, CAST(ts AS DATE) AS dia, round(sum(value), 4) AS chuva, count(*) AS horas, count(value) AS validas FROM events GROUP BY ALL",
     ),
     "a4_a5_p18_monthly_climate": (lambda s, d: _six(domain.station_months(s, d), *MEASURES, "fracao_valida"), f"WITH {STM} SELECT {_MONTHS} FROM stm"),
     "p18_sound_months": (
@@ -63,6 +68,10 @@ QUERIES = {
         f"WITH {RDG}, {MAT}, hit AS (SELECT * FROM twn WHERE codigo_ibge IN (SELECT codigo_ibge FROM mat)) SELECT (SELECT count(*) FROM mat) AS estacoes, (SELECT count(*) FROM mat WHERE codigo_ibge IS NULL) AS sem_municipio, count(*) AS total_municipios, "
         + ", ".join(f"count(*) FILTER ({c} IN (SELECT {c} FROM hit)) AS via_{n}" for c, n in (("codigo_ibge", "municipio"), ("regiao_imediata",) * 2, ("regiao_intermediaria",) * 2, ("uf",) * 2)) + " FROM twn",
     ),
+    "j7_unserved": (
+        lambda s, d: matching.unserved(domain.town_climate(s, d).where(F.col("fonte_clima") != "uf"), domain.towns(s, d)),
+        f"WITH {SPR} SELECT count(*) AS sem_clima FROM twn WHERE codigo_ibge NOT IN (SELECT codigo_ibge FROM spr WHERE fonte_clima <> 'uf')",
+    ),
     "a10_source_mix": (
         lambda s, d: matching.sources(domain.town_climate(s, d)),
         f"WITH {SPR} SELECT fonte_clima, count(*) AS n, round(count(*) / (SELECT count(*) FROM spr), 6) AS fracao FROM spr GROUP BY fonte_clima",
