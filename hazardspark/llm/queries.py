@@ -16,6 +16,7 @@ MODULES = {
     "op8_lm_scoring": "lm",
     "op9_best_fit_packing": "packing",
     "op10_suffix_dedup": "suffixes",
+    "op11_merkle_manifest": "merkle",
 }
 
 
