@@ -17,6 +17,8 @@ MODULES = {
     "op9_best_fit_packing": "packing",
     "op10_suffix_dedup": "suffixes",
     "op11_merkle_manifest": "merkle",
+    "op12_language_id": "langid",
+    "op13_hard_negatives": "covertree",
 }
 
 
