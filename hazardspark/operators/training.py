@@ -1,9 +1,8 @@
-"""Weighted forests: fitting, choice of parameters, walk-forward, comparison of splits."""
+"""Weighted forests: fitting, scoring, importance, saved models."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.pipeline import PipelineModel
@@ -11,11 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardspark import contract
-from hazardspark.operators import features, metrics, splits
+from hazardspark.operators import features, metrics
+from hazardspark.operators.costs import COST
 
-COST = {"baixo": 1.0, "medio": 3.0, "alto": 6.0}
 DEEPEST = 30  # of the forests here; stands for no limit
-CANDIDATES = [(12, 10), (16, 5), (20, 5), (28, 3), (None, 5)]
 
 
 class Forest:
@@ -77,62 +75,3 @@ class Forest:
 
 def evaluate(model: Forest, rows: DataFrame) -> DataFrame:
     return metrics.summary(metrics.confusion(model.transform(rows).select(F.col(contract.TARGET).alias("real"), "previsto")))
-
-
-def walk_forward(rows: DataFrame, make: Callable[[DataFrame], Forest], least: int = 8, last: int | None = None) -> DataFrame:
-    """A model for each window, fitted on the years before and tried on the next."""
-    found = []
-    for cut, year in sorted((w.treino_ate, w.ano_teste) for w in splits.windows(rows, least, last).collect()):
-        train, test = rows.where(F.col("ano") <= cut), rows.where(F.col("ano") == year)
-        if train.select(contract.TARGET).distinct().count() < 2 or test.isEmpty():
-            continue
-        m = evaluate(make(train), test).first()
-        found.append((cut, year, m.acuracia_balanceada, m.f1_macro, m.recall_alto))
-    return rows.sparkSession.createDataFrame(found, "treino_ate int, ano_teste int, acuracia_balanceada double, f1_macro double, recall_alto double")
-
-
-def walk_summary(found: DataFrame) -> DataFrame:
-    """Mean, sample deviation and worst of each measure."""
-    each = [("acuracia_balanceada",), ("f1_macro",), ("recall_alto",)]
-    lines = found.select(F.explode(F.array(*(F.struct(F.lit(c).alias("medida"), F.col(c).alias("v")) for (c,) in each))).alias("x")).select("x.medida", "x.v")
-    return lines.groupBy("medida").agg(F.avg("v").alias("media"), F.stddev_samp("v").alias("desvio"), F.min("v").alias("pior"))
-
-
-def parsimonious(candidates: DataFrame, tolerance: float = 0.01, measure: str = "f1_macro") -> DataFrame:
-    """Of the candidates within ``tolerance`` of the best, the least complex."""
-    best = candidates.agg(F.max(measure).alias("_best"))
-    near = candidates.crossJoin(best).where(F.col(measure) >= F.col("_best") - tolerance).drop("_best")  # one row
-    return near.orderBy(F.coalesce("profundidade", F.lit(999)), -F.col("folha")).limit(1)
-
-
-def choose(train: DataFrame, validation: DataFrame, candidates=None, trees: int = 100, seed: int = 42) -> DataFrame:
-    """Each candidate's measures on the validation rows."""
-    found = []
-    for depth, leaf in candidates or CANDIDATES:
-        m = evaluate(Forest.fit(train, trees, depth, leaf, seed), validation).first()
-        found.append((depth, leaf, m.acuracia_balanceada, m.f1_macro))
-    return train.sparkSession.createDataFrame(found, "profundidade int, folha int, acuracia_balanceada double, f1_macro double")
-
-
-def compare_shares(rows: DataFrame, shares: tuple[float, ...] = (0.5, 0.3, 0.2), trees: int = 100, depth: int = 20) -> DataFrame:
-    """Random stratified splits at several test shares, with the gap to the best."""
-    found = []
-    for share in shares:
-        parts = splits.stratified(rows, share, contract.KEY)
-        model = Forest.fit(parts.where("parte = 'treino'"), trees, depth)
-        m = evaluate(model, parts.where("parte = 'teste'")).first()
-        found.append((share, m.acuracia_balanceada, m.f1_macro))
-    best = max(m for _, m, _ in found)
-    return rows.sparkSession.createDataFrame([(s, b, f, best - b, best - b < 0.02) for s, b, f in found], "proporcao_teste double, acuracia_balanceada double, f1_macro double, diferenca double, desprezivel boolean")
-
-
-def compare_in_time(rows: DataFrame, test: int = 2022, trees: int = 100, depth: int = 20) -> DataFrame:
-    """A random and a temporal split of the same test share, and how much the random one flatters."""
-    timed = splits.two(rows, test)
-    share = timed.agg(F.avg((F.col("parte") == "teste").cast("double"))).first()[0]
-    found = []
-    for name, parts in (("aleatoria", splits.stratified(rows, share, contract.KEY)), ("temporal", timed)):
-        m = evaluate(Forest.fit(parts.where("parte = 'treino'"), trees, depth), parts.where("parte = 'teste'")).first()
-        found.append((name, m.acuracia_balanceada, m.f1_macro))
-    gap = found[0][1] - found[1][1]
-    return rows.sparkSession.createDataFrame([(*f, gap, gap > 0.02) for f in found], "divisao string, acuracia_balanceada double, f1_macro double, inflacao double, relevante boolean")

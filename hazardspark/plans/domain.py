@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardspark.functions.storage import written
 from hazardspark.functions.text import normalise
-from hazardspark.operators import climate, matching, monthly
+from hazardspark.operators import climate, history, matching, monthly
 
 FIRST, LAST = 1998, 2001
 
@@ -45,6 +45,14 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"real": F.col("nivel_risco"), "previsto": said})
 
 
+def described(spark: SparkSession, d: str) -> DataFrame:
+    """Months with the features of their past, and a level."""
+    m = months(spark, d)
+    rows = history.series(m, m.select("codigo_ibge", "grupo_desastre", "indice_mes", "ano", "mes", "uf", "regiao", "reconhecido", "mortos"))
+    level = F.when(F.col("reconhecido") | (F.col("mortos") > 0), "alto").when(F.col("ja_ocorreu") == 0, "baixo").otherwise("medio")
+    return rows.withColumn("nivel_risco", level)
+
+
 def readings(spark: SparkSession, d: str) -> DataFrame:
     """Line items as hourly readings of their supplier's station."""
     nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), F.col("r_name").alias("uf"))

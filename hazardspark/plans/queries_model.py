@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazardspark.contract import Rule
-from hazardspark.operators import directory, features, history, inference, metrics, monthly, quality, scoring, splits, training
+from hazardspark.operators import directory, features, history, inference, metrics, monthly, quality, scoring, selection, splits, training
 from hazardspark.plans import domain, queries_events
 from hazardspark.plans.domain import LAB, MON, OCC, RDG
 from hazardspark.sources import geo
@@ -102,7 +102,7 @@ _BY_YEAR = f"WITH {LAB}, y AS (SELECT ano, round(avg(CASE WHEN real = previsto T
 
 def _walk(spark, d):
     rows = _by_year(spark, d).select("ano", F.col("f1_macro").alias("acuracia_balanceada"), (F.col("f1_macro") / 2).alias("f1_macro"), (F.col("f1_macro") / 4).alias("recall_alto"))
-    return _six(training.walk_summary(rows), "media", "desvio", "pior")
+    return _six(selection.walk_summary(rows), "media", "desvio", "pior")
 
 
 def _points(spark, d):
@@ -253,7 +253,7 @@ QUERIES = {
         _walk,
         _BY_YEAR + ", l AS (SELECT 'acuracia_balanceada' AS medida, f1_macro AS v FROM y UNION ALL SELECT 'f1_macro', f1_macro / 2 FROM y UNION ALL SELECT 'recall_alto', f1_macro / 4 FROM y) SELECT medida, round(avg(v), 6) AS media, round(stddev_samp(v), 6) AS desvio, round(min(v), 6) AS pior FROM l GROUP BY medida",
     ),
-    "m7_parsimonious_choice": (lambda s, d: training.parsimonious(_by_year(s, d), 0.05), _BY_YEAR + " SELECT * FROM y WHERE f1_macro >= (SELECT max(f1_macro) FROM y) - 0.05 ORDER BY profundidade, -folha LIMIT 1"),
+    "m7_parsimonious_choice": (lambda s, d: selection.parsimonious(_by_year(s, d), 0.05), _BY_YEAR + " SELECT * FROM y WHERE f1_macro >= (SELECT max(f1_macro) FROM y) - 0.05 ORDER BY profundidade, -folha LIMIT 1"),
     "m8_measures_by_class": (lambda s, d: _six(metrics.by_class(_counts(s, d)), "precisao", "recall", "f1"), _EACH + " SELECT classe, round(precisao, 6) AS precisao, round(recall, 6) AS recall, round(f1, 6) AS f1, suporte FROM g"),
     "m8_measures_summary": (
         lambda s, d: _six(metrics.summary(_counts(s, d)), "acuracia_balanceada", "f1_macro", "precisao_macro", "recall_macro", "f1_ponderado", "precisao_ponderada", "acuracia", "recall_alto"),

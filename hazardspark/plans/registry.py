@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazardspark.plans import queries_climate, queries_events, queries_files, queries_model
+from hazardspark.plans import queries_climate, queries_events, queries_files, queries_model, queries_selection
 
 FLAGSHIP = "w1_w6_history_features"
-_PARTS = (queries_events, queries_climate, queries_files, queries_model)
+_PARTS = (queries_events, queries_climate, queries_files, queries_model, queries_selection)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardspark import contract
-from hazardspark.operators import features, inference, metrics, scoring, splits, training
+from hazardspark.operators import features, frequency, inference, metrics, scoring, selection, splits, training
 
 
 @pytest.fixture(scope="module")
@@ -63,15 +63,15 @@ def test_measures_of_the_published_matrix(spark):
 def test_published_walk_forward(spark):
     balanced = [0.5843, 0.6420, 0.4738, 0.5440, 0.5815, 0.5580, 0.5303, 0.5870]
     rows = [(2017 + i, 2018 + i, b, b, b) for i, b in enumerate(balanced)]
-    s = training.walk_summary(spark.createDataFrame(rows, "treino_ate int, ano_teste int, acuracia_balanceada double, f1_macro double, recall_alto double")).where("medida = 'f1_macro'").first()
+    s = selection.walk_summary(spark.createDataFrame(rows, "treino_ate int, ano_teste int, acuracia_balanceada double, f1_macro double, recall_alto double")).where("medida = 'f1_macro'").first()
     assert [round(x, 4) for x in (s.media, s.desvio, s.pior)] == [0.5626, 0.0493, 0.4738]
 
 
 def test_published_choice(spark):
     rows = [(12, 10, 0.5056), (16, 5, 0.5055), (20, 5, 0.5113), (28, 3, 0.5159), (None, 5, 0.5151)]
     df = spark.createDataFrame(rows, "profundidade int, folha int, f1_macro double")
-    assert tuple(training.parsimonious(df).first())[:2] == (20, 5)
-    assert training.parsimonious(df, 1.0).first().profundidade == 12
+    assert tuple(selection.parsimonious(df).first())[:2] == (20, 5)
+    assert selection.parsimonious(df, 1.0).first().profundidade == 12
 
 
 def test_diagnosis(spark):
@@ -104,27 +104,6 @@ def test_a_model_of_another_contract_is_refused(spark, yearly, tmp_path, monkeyp
         training.Forest.load(spark, str(tmp_path / "m"))
 
 
-def test_walk_forward_sees_no_future(yearly):
-    seen = []
-
-    def make(train):
-        seen.append(train.agg(F.max("ano")).first()[0])
-        return fit(train, trees=1, depth=2)
-
-    found = sorted(map(tuple, training.walk_forward(yearly, make, last=2).collect()))
-    assert [r[:2] for r in found] == [(2023, 2024), (2024, 2025)] and seen == [2023, 2024]
-
-
-def test_comparisons(yearly):
-    small = yearly.where("ano >= 2019").withColumns({"regiao": F.lit("Sul"), "uf": F.lit("PR"), "ocorrencias_12m": F.col("x1"), "ocorrencias_24m": F.col("x2")})
-    shares = training.compare_shares(small, (0.5, 0.2), 2, 3).collect()
-    assert min(r.diferenca for r in shares) == 0 and all(r.acuracia_balanceada > 0.5 for r in shares)
-    timed = training.compare_in_time(small, 2023, 2, 3).collect()
-    assert {r.divisao for r in timed} == {"aleatoria", "temporal"} and len({r.inflacao for r in timed}) == 1
-    choice = training.choose(small.where("ano < 2023"), small.where("ano >= 2023"), [(2, 5), (None, 3)], trees=2).collect()
-    assert [r.profundidade for r in choice] == [2, None]
-
-
 def test_derived(spark):
     df = spark.createDataFrame([(3, 0, 0.0, 0.0, 0.0, 1, 3, 2), (12, 4, 2.0, 6.0, 8.0, 1, 3, 2)], "mes int, ocorrencias_total_historico long, anos_de_historico double, reconhecimentos_historico double, afetados_historico double, ocorrencias_12m long, ocorrencias_24m long, ocorrencias_60m long")
     a, b = features.bands(features.derive(df)).orderBy("mes").collect()
