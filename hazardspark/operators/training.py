@@ -44,9 +44,13 @@ class Forest:
         finally:
             ready.unpersist()
 
+    def filled(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the fills of the training slice for what lacks."""
+        return self._filled(rows, self.numeric, self.fills)
+
     def transform(self, rows: DataFrame) -> DataFrame:
         """``rows`` with probability and previsto."""
-        raw = self.model.transform(self.encoding.transform(self._filled(rows, self.numeric, self.fills)))
+        raw = self.model.transform(self.encoding.transform(self.filled(rows)))
         said = F.element_at(F.lit(contract.CLASSES), F.col("prediction").cast("int") + 1)
         kept = [F.col(c) for c in rows.columns if c not in ("probability", "previsto")]
         return raw.withColumn("previsto", said).select(*kept, "probability", "previsto")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardspark.functions.storage import written
 from hazardspark.functions.text import normalise
-from hazardspark.operators import climate, history, matching, monthly
+from hazardspark.operators import climate, features, history, matching, monthly
 
 FIRST, LAST = 1998, 2001
 
@@ -53,6 +53,16 @@ def described(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("nivel_risco", level)
 
 
+def inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Months with every input of the model, history, context, climate and derived columns, and a level; written once."""
+    m = written(months(spark, d), "months")
+    towns_ = written(town_climate(spark, d), "town-climate")
+    rows = history.features(m, m.select("codigo_ibge", "grupo_desastre", "indice_mes", "ano", "mes", "uf", "regiao", "reconhecido", "mortos"))
+    rows = climate.known_before(rows, towns_, climate.normals(towns_, ["codigo_ibge"], 1995, 1997))
+    level = F.when(F.col("reconhecido") | (F.col("mortos") > 0), "alto").when(F.col("ja_ocorreu") == 0, "baixo").otherwise("medio")
+    return written(features.derive(rows).withColumn("nivel_risco", level).drop("reconhecido", "mortos"), "inputs")
+
+
 def readings(spark: SparkSession, d: str) -> DataFrame:
     """Line items as hourly readings of their supplier's station."""
     nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), F.col("r_name").alias("uf"))

@@ -6,10 +6,14 @@ measure SQL can state; with forests, SQL states the rows of each part and the wi
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hazardspark.operators import selection
+from hazardspark import contract
+from hazardspark.operators import selection, trees
 from hazardspark.operators.frequency import KEYS, Frequent
+from hazardspark.operators.training import Forest
 from hazardspark.plans import domain
 from hazardspark.plans.domain import LAB
 
@@ -188,7 +192,35 @@ _FOREST_REFIT = (
     "UNION ALL SELECT 'teste', a + b, c, 1, 1, true FROM s UNION ALL SELECT 'final', a + b + c, 0, 1, 1, true FROM s"
 )
 
+ROW = ["codigo_ibge", "grupo_desastre", "indice_mes"]
+
+
+def _votes(spark, d):
+    """A forest of the default size on all inputs: the votes by its nodes against those of its own transform, row by row."""
+    rows = domain.inputs(spark, d)
+    model = Forest.fit(rows.where(F.col("ano") < TEST))
+    tried = rows.where(F.col("ano") >= TEST)
+    own = model.model.transform(model.encoding.transform(model.filled(tried))).select(*ROW, vector_to_array("rawPrediction").alias("own"))
+    both = trees.votes(model, trees.nodes(model), tried, ROW).join(own, ROW)
+    gap = F.array_max(F.zip_with("votos", "own", lambda a, b: F.abs(a - b)))
+    return both.select(*ROW, (gap < 1e-9).alias("votos_iguais"), F.round(F.aggregate("votos", F.lit(0.0), lambda a, v: a + v), 6).alias("votos"))
+
+
+def _node_importance(spark, d):
+    """Importance summed over nodes against the model's own, for every input."""
+    model = Forest.fit(domain.inputs(spark, d).where(F.col("ano") < TEST), 20, 8)
+    summed = trees.importance(trees.nodes(model))
+    own = model.importance().withColumnRenamed("importancia", "own")
+    both = own.join(summed, "variavel", "left").withColumn("importancia", F.coalesce("importancia", F.lit(0.0)))
+    total = F.sum("importancia").over(Window.partitionBy(F.lit(0)))  # a row for each input
+    return both.select("variavel", (F.abs(F.col("own") - F.col("importancia")) < 1e-9).alias("igual"), (F.abs(total - 1) < 1e-9).alias("soma_um"))
+
+
+_INPUTS = " UNION ALL ".join(f"SELECT '{c}' AS variavel, true AS igual, true AS soma_um" for c in [*contract.MODEL_NUMERIC, *contract.MODEL_CATEGORICAL])
+
 QUERIES = {
+    "m2_m13_votes_by_nodes": (_votes, f"WITH {LAB} SELECT codigo_ibge, grupo_desastre, CAST(indice_mes AS INTEGER) AS indice_mes, true AS votos_iguais, CAST(100 AS DOUBLE) AS votos FROM lab WHERE ano >= {TEST}"),
+    "m12_importance_by_nodes": (_node_importance, _INPUTS),
     "m6_walk_forward": (_walk, _walk_sql()),
     "m6_walk_forward_forest": (_forest_walk, _FOREST_WALK),
     "m7_select_and_refit": (_refit, _REFIT),
