@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardspark import contract
+from hazardspark.operators import quantiles
 
 #: Disjoint band -> (wider count, narrower count).
 BANDS = {"ocorrencias_13_a_24m": ("ocorrencias_24m", "ocorrencias_12m"), "ocorrencias_25_a_60m": ("ocorrencias_60m", "ocorrencias_24m")}
@@ -35,7 +36,7 @@ class Fills:
     """Exact medians and modes of a training slice, put in for nulls."""
 
     def __init__(self, rows: DataFrame, numeric: list[str], categorical: list[str]):
-        found = rows.agg(*(F.median(F.col(c).cast("double")).alias(c) for c in numeric), *(F.mode(c, deterministic=True).alias(c) for c in categorical)).first().asDict()
+        found = quantiles.fills(rows, numeric, categorical)
         self.numeric, self.categorical = numeric, categorical
         self.values = {c: found[c] if found[c] is not None else (0.0 if c in numeric else "") for c in found}
 

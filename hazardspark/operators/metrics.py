@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardspark.contract import CLASSES
+from hazardspark.functions.storage import written
 
 
 def confusion(rows: DataFrame) -> DataFrame:
@@ -66,15 +67,27 @@ def levels(rows: DataFrame, keys: list[str], label: str = "nivel_risco", classes
     return rows.groupBy(*keys).agg(*(F.count_if(F.col(label) == c).alias(c) for c in classes))
 
 
+def ranged(counts: DataFrame, score: str = "s") -> DataFrame:
+    """``counts`` with part: ranges of the score between splitters that are drawn from the scores themselves, written once."""
+    return written(counts.repartitionByRange(score).withColumn("part", F.spark_partition_id()), "score-ranges")
+
+
 def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
-    """Exact area under the curve by rank sums, equal scores at their mean rank.
+    """Exact area under the curve by rank sums, equal scores at their mean rank; null where a class lacks.
 
-    Scores are counted first; the running sum over distinct scores goes by leading range
-    of the score, so neither step sorts all rows in one task.
+    Rows of equal score are one count first, so a score that most rows share is one row.
+    The counts are dealt into ranges by splitters drawn from them, and written; the sums of
+    the ranges before and the running sum within give each score's rank: no step sorts all
+    scores in one task, however they are spread. A null or NaN score is an error, a null
+    outcome counts as negative.
     """
-    counts = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    counts = counts.withColumn("k", F.floor(F.col("s") * 1000))
-    parts = counts.groupBy("k").agg(F.sum("q").alias("kq"))
-    parts = parts.select("k", (F.sum("kq").over(Window.orderBy("k")) - F.col("kq")).alias("before"))  # over ranges
-    ranked = counts.join(parts, "k").withColumn("below", F.col("before") + F.sum("q").over(Window.partitionBy("k").orderBy("s")) - F.col("q"))
-    return ranked.agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
+    s = F.col(score).cast("double")
+    sound = F.when(s.isNull() | F.isnan(s), F.raise_error(F.lit("a score is null or NaN")).cast("double")).otherwise(s)
+    hit = F.coalesce(F.col(positive), F.lit(False))
+    counts = rows.select(sound.alias("s"), hit.alias("_hit")).groupBy("s").agg(F.count_if("_hit").alias("p"), F.count_if(~F.col("_hit")).alias("q"))
+    counts = ranged(counts)
+    parts = counts.groupBy("part").agg(F.sum("q").alias("kq"))
+    parts = parts.select("part", (F.sum("kq").over(Window.orderBy("part")) - F.col("kq")).alias("before"))  # a row for each range
+    ranked = counts.join(parts, "part").withColumn("below", F.col("before") + F.sum("q").over(Window.partitionBy("part").orderBy("s")) - F.col("q"))
+    wins = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2))
+    return ranked.agg((wins / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))

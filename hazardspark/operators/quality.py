@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hazardspark import contract
 from hazardspark.contract import Rule
+from hazardspark.operators import quantiles
 
 SCHEMA = "check string, coluna string, severidade string, n long, detalhe string"
 
@@ -93,7 +94,7 @@ def validate(rows: DataFrame, with_target: bool = True) -> DataFrame:
 
 def clean(rows: DataFrame, numeric: list[str], categorical: list[str], key: list[str], order: list[str]) -> DataFrame:
     """Nulls by exact median and mode, the first row of each key kept."""
-    fills = rows.agg(*(F.median(c).alias(c) for c in numeric), *(F.mode(c, deterministic=True).alias(c) for c in categorical)).first().asDict()
+    fills = quantiles.fills(rows, numeric, categorical)
     types = dict(rows.dtypes)
     rows = rows.withColumns({c: F.col(c).cast("double") for c in numeric if types[c] != "double"})
     rows = rows.fillna({c: v for c, v in fills.items() if v is not None})

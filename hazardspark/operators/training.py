@@ -39,7 +39,7 @@ class Forest:
         weight = F.create_map(*[F.lit(x) for pair in COST.items() for x in pair])[F.col(contract.TARGET)]
         ready = encoding.transform(filled).select("features", label.cast("double").alias("_label"), weight.alias("_weight")).where("_label >= 0").persist()
         try:
-            forest = RandomForestClassifier(labelCol="_label", weightCol="_weight", numTrees=trees, maxDepth=min(depth or DEEPEST, DEEPEST), minInstancesPerNode=leaf, seed=seed, maxBins=64)
+            forest = RandomForestClassifier(labelCol="_label", weightCol="_weight", numTrees=trees, maxDepth=min(depth or DEEPEST, DEEPEST), minInstancesPerNode=leaf, seed=seed, maxBins=64, cacheNodeIds=True)
             return cls(numeric, categorical, fills, encoding, forest.fit(ready))
         finally:
             ready.unpersist()
