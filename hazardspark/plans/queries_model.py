@@ -142,6 +142,22 @@ def _odds(spark, d):
     return inference.export(inference.odds(_design_rows(spark, d), "gravidade", numeric=NUMBERS)["tabela"])
 
 
+def _equations(spark, d):
+    """The full design with a column that only rows of alto have: what a fit must satisfy, and which estimates are none."""
+    rows = _design_rows(spark, d).withColumn("alarme", (F.col("reconhecido") & (F.col("indice_mes") % 29 == 0)).cast("double"))
+    found = inference.odds(rows, "gravidade", limit=1e9, numeric=[*NUMBERS, "alarme"], proven=True)
+    both = found["equacoes"].join(found["tabela"].withColumnRenamed("erro_padrao", "reported"), "variavel")
+    same = F.abs(F.col("erro_padrao") / F.col("reported") - 1) < 1e-4
+    return both.select("variavel", (F.abs("gradiente") < 1e-6).alias("gradiente_nulo"), (same | ~F.col("confiavel")).alias("erro_confere"), "confiavel")
+
+
+_EQUATIONS = (
+    f"WITH {MON}, v AS (SELECT unnest({[*NUMBERS, 'alarme']}) AS variavel UNION ALL SELECT DISTINCT 'regiao_' || regiao FROM mon WHERE regiao > (SELECT min(regiao) FROM mon) "
+    "UNION ALL SELECT DISTINCT 'grupo_desastre_' || grupo_desastre FROM mon WHERE grupo_desastre > (SELECT min(grupo_desastre) FROM mon)) "
+    "SELECT variavel, true AS gradiente_nulo, true AS erro_confere, variavel <> 'alarme' AS confiavel FROM v"
+)
+
+
 def _sentences(spark, d):
     found = inference.odds(_design_rows(spark, d), "ocorrencia", numeric=NUMBERS)
     return inference.sentences(found["tabela"], found["desvios_padrao"]).select("variavel", "frase")
@@ -334,6 +350,7 @@ QUERIES = {
         f"WITH {LAB}, k AS (SELECT CASE WHEN mes <> 3 THEN afetados END AS a, CASE WHEN mes <> 4 THEN uf END AS u, regiao FROM lab), m AS (SELECT (SELECT median(a) FROM k) AS a, (SELECT u FROM k WHERE u IS NOT NULL GROUP BY u ORDER BY count(*) DESC, u LIMIT 1) AS u) "
         "SELECT coalesce(k.u, m.u) AS uf, regiao, count(*) AS n, round(sum(coalesce(k.a, m.a)), 3) AS afetados FROM k, m GROUP BY ALL",
     ),
+    "o6_o7_score_equations": (_equations, _EQUATIONS),
     "o2_o8_odds_ratios": (_odds, None),
     "o10_sentences": (_sentences, None),
     "m2_m13_forest_scores": (_forest, None),

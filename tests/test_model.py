@@ -124,6 +124,18 @@ def test_odds_ratio_of_a_two_by_two_table(spark):
     assert auc == pytest.approx((500 / 700) * (800 / 1300) + 0.5 * ((500 / 700) * (500 / 1300) + (200 / 700) * (800 / 1300)), abs=1e-6)
 
 
+def test_score_equations_tell_a_fit_from_none(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 3))
+    y = rng.random(3000) < 1 / (1 + np.exp(-(x @ [1.0, -0.5, 0.0] - 0.3)))
+    df = spark.createDataFrame([(*map(float, r), float(e)) for r, e in zip(x, y, strict=True)], "a double, b double, c double, _event double").repartition(5)
+    coefficients, scored = inference.fit(df, ["a", "b", "c"], "_event")
+    got = {r.variavel: r for r in inference.score_equations(scored, ["a", "b", "c"], "_event").collect()}
+    assert all(abs(got[n].gradiente) < 1e-6 and got[n].erro_padrao == pytest.approx(e, rel=1e-4) for n, _, e in coefficients)
+    off = inference.score_equations(scored.withColumn("_p", F.col("_p") * 0.9), ["a", "b", "c"], "_event").collect()
+    assert max(abs(r.gradiente) for r in off) > 1e-3
+
+
 def test_collinear_columns_go(spark):
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=400), rng.normal(size=400)
