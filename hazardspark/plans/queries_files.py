@@ -10,10 +10,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hazardspark import contract
-from hazardspark.functions.storage import fresh
+from hazardspark.functions.storage import fresh, written
 from hazardspark.functions.text import to_cp850
+from hazardspark.operators import climate
 from hazardspark.plans import domain, queries_events
-from hazardspark.plans.domain import LAB, MON, RDG
+from hazardspark.plans.domain import LAB, MON, OCC, RDG, STM
 from hazardspark.sources import events, geo, municipalities, provenance, stations, tables
 
 # The two generations of column heads in station files.
@@ -169,7 +170,35 @@ def _mesh_file(spark, d):
     return geo.read_mesh(spark, path)
 
 
+#: Of each kept table: the rows written first, those that are written again with another value, and that value.
+AGAIN = {"ocorrencias": ("ano = 1997", "afetados"), "clima_mensal": ("ano = 1996 AND mes = 5", "chuva_total_mm"), "normais": ("mes = 3", "chuva_normal_mm")}
+
+
+def _kept(spark, d):
+    """All three tables written, one partition of each written again with its value one larger, and read back."""
+    stations_ = written(domain.station_months(spark, d), "station-months")
+    found = {"ocorrencias": domain.occurrences(spark, d), "clima_mensal": stations_, "normais": climate.normals(stations_, ["estacao", "uf"], 1995, 1997)}
+    lines = []
+    for table, rows in found.items():
+        path = fresh(spark, table)
+        part, value = AGAIN[table]
+        tables.write_kept(rows, path, table)
+        tables.write_kept(rows.where(part).withColumn(value, F.col(value) + 1), path, table)
+        back = tables.read_kept(spark, path, rows)
+        year = F.col("ano") if "ano" in back.columns else F.lit(None).cast("int")
+        lines.append(back.groupBy(F.lit(table).alias("tabela"), year.alias("ano"), "mes").agg(F.count("*").alias("n"), F.round(F.sum(value), 3).alias("soma")))
+    return lines[0].unionByName(lines[1]).unionByName(lines[2])
+
+
+_KEPT = (
+    f"WITH {OCC}, {STM}, nrm AS (SELECT estacao, uf, mes, avg(chuva_total_mm) AS v FROM stm WHERE ano BETWEEN 1995 AND 1997 GROUP BY ALL) "
+    "SELECT 'ocorrencias' AS tabela, ano, mes, count(*) AS n, round(sum(afetados + CASE WHEN ano = 1997 THEN 1 ELSE 0 END), 3) AS soma FROM occ GROUP BY ano, mes "
+    "UNION ALL SELECT 'clima_mensal', ano, mes, count(*), round(sum(chuva_total_mm + CASE WHEN ano = 1996 AND mes = 5 THEN 1 ELSE 0 END), 3) FROM stm GROUP BY ano, mes "
+    "UNION ALL SELECT 'normais', NULL, mes, count(*), round(sum(v + CASE WHEN mes = 3 THEN 1 ELSE 0 END), 3) FROM nrm GROUP BY mes"
+)
+
 QUERIES = {
+    "s7_replaced_partitions": (_kept, _KEPT),
     "s1_register_file": (_register_file, queries_events.QUERIES["p1_p7_clean_register"][1]),
     "s2_s4_p15_p16_station_files": (lambda s, d: _by_station(_station_folder(s, d)[0]), _READ),
     "s2_bad_station_files": (lambda s, d: _failures(_station_folder(s, d)[1]), _STATIONS + "SELECT 'the header lacks uf' AS motivo, count(DISTINCT k) AS arquivos FROM f WHERE k % 8 = 7 HAVING count(*) > 0"),

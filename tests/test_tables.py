@@ -53,6 +53,31 @@ def test_dataset_file(spark, good, tmp_path):
         tables.read_dataset(spark, str(tmp_path / "bad"))
 
 
+def test_partitions_are_replaced_by_their_own_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(y, m, i, float(i)) for y in (2020, 2021, None) for m in (1, 2) for i in range(50)], "ano int, mes int, k int, v double")
+    tables.replace_partitions(rows, path, ("ano", "mes"), ("k",))
+    read = lambda: {(r.ano, r.mes): (r.n, r.s) for r in tables.read_kept(spark, path, rows).groupBy("ano", "mes").agg(F.count("*").alias("n"), F.sum("v").alias("s")).collect()}
+    first = read()
+    assert len(first) == 6 and set(first.values()) == {(50, 1225.0)}
+    tables.replace_partitions(rows.where("ano = 2021 AND mes = 2 AND k < 3").withColumn("v", F.lit(7.0)), path, ("ano", "mes"))
+    assert read() == first | {(2021, 2): (3, 21.0)}
+    tables.replace_partitions(rows.limit(0), path, ("ano", "mes"))
+    assert read() == first | {(2021, 2): (3, 21.0)}
+    failing = rows.where("ano = 2020").withColumn("v", F.when(F.col("k") == 49, F.raise_error(F.lit("lost")).cast("double")).otherwise(0.0))
+    with pytest.raises(Exception, match="lost"):
+        tables.replace_partitions(failing, path, ("ano", "mes"))
+    assert read() == first | {(2021, 2): (3, 21.0)}
+    big = spark.range(20_000).selectExpr("2022 AS ano", "1 AS mes", "CAST(id AS INT) AS k", "1D AS v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.replace_partitions(big, path, ("ano", "mes"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {r[0] for r in spark.read.parquet(path).where("ano = 2022").select(F.input_file_name()).distinct().collect()}
+    assert len(files) > 1 and read()[2022, 1] == (20_000, 20_000.0)
+
+
 def test_cleaning(spark):
     rows = [(i, 10.0 if i < 8 else None if i == 8 else 1e6, "a" if i % 2 else None) for i in range(10)] + [(0, 10.0, "b")] * 4
     df = spark.createDataFrame(rows, "k int, v double, c string").withColumn("o", F.monotonically_increasing_id())
