@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardspark import contract
 from hazardspark.functions.months import month_index, month_of, year_of
 from hazardspark.operators import climate as climate_
-from hazardspark.operators import features, history, monthly
+from hazardspark.operators import features, history, metrics, monthly
+from hazardspark.sources import tables
+
+ASKED = 1200
+MAP_KEYS = ("grupo_desastre", "ano", "mes")
+MAP_SCHEMA = "codigo_ibge long, municipio string, uf string, nivel string, prob_baixo double, prob_medio double, prob_alto double, cor string, grupo_desastre string, ano int, mes int"
+MAP = [f.split()[0] for f in MAP_SCHEMA.split(", ")]
 
 
 def shape(rows: DataFrame, probability: Column | None = None) -> DataFrame:
@@ -41,9 +49,18 @@ def requested(occurrences: DataFrame, requests: DataFrame, climate: DataFrame |
 
 
 def country(occurrences: DataFrame, months: DataFrame) -> DataFrame:
-    """Requests of every municipality for every group it has a history of, at the months (ano, mes) given."""
+    """Requests of every municipality for every group it has a history of, at the months (ano, mes) given.
+
+    The months are at most ``ASKED``, as values of the plan: more are an error.
+    """
+    asked = sorted({(r["ano"], r["mes"]) for r in months.select("ano", "mes").where("ano IS NOT NULL AND mes BETWEEN 1 AND 12").distinct().limit(ASKED + 1).collect()})
+    if len(asked) > ASKED:
+        raise ValueError(f"more than {ASKED} months are asked for at once")
     known = occurrences.select("codigo_ibge", "grupo_desastre").distinct()
-    return known.crossJoin(F.broadcast(months.select("ano", "mes").distinct()))  # a few months asked for
+    if not asked:
+        return known.select("*", F.lit(0).alias("ano"), F.lit(0).alias("mes")).where("false")
+    each = F.array(*(F.struct(F.lit(y).cast("int").alias("ano"), F.lit(m).cast("int").alias("mes")) for y, m in asked))
+    return known.select("*", F.inline(each))
 
 
 def season(pairs: DataFrame, year: int) -> DataFrame:
@@ -51,5 +68,45 @@ def season(pairs: DataFrame, year: int) -> DataFrame:
     return pairs.withColumns({"ano": F.lit(year), "mes": F.explode(F.sequence(F.lit(1), F.lit(12)))})
 
 
+def scored(model, rows: DataFrame) -> DataFrame:
+    """``rows`` with the model's shaped scores, for a vector or an array of probabilities."""
+    out = model.transform(rows)
+    return shape(out, None if dict(out.dtypes)["probability"] == "vector" else F.col("probability")).drop("probability", "previsto")
+
+
+def write_map(model, occurrences: DataFrame, months: DataFrame, path: str, climate: DataFrame | None = None) -> None:
+    """The scored map of every group at every month asked for, written by group and month.
+
+    One batch of requests, features and scores for all maps. A map that was written before
+    is replaced; the rows of a large group are dealt over tasks by municipality.
+    """
+    rows = scored(model, requested(occurrences, country(occurrences, months), climate))
+    typed = [F.col(n).cast(t).alias(n) for n, t in (f.split() for f in MAP_SCHEMA.split(", "))]  # a model may hold its inputs as doubles
+    tables.replace_partitions(rows.select(*typed), path, MAP_KEYS, ("codigo_ibge",))
+
+
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MAP_SCHEMA).parquet(path).select(*MAP)
+
+
+def map_summary(maps: DataFrame) -> DataFrame:
+    """Municipalities of each level, and in all, by map."""
+    counts = metrics.levels(maps, list(MAP_KEYS), "nivel")
+    return counts.withColumn("total", reduce(lambda a, b: a + b, (F.col(c) for c in contract.CLASSES)))
+
+
+def season_profile(model, occurrences: DataFrame, year: int, climate: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """The twelve months of a year of each (codigo_ibge, grupo_desastre), scored in one batch.
+
+    altura: the probability of alto over the year's largest (0.01 at least); pico: whether
+    it is that one.
+    """
+    pairs = (occurrences if pairs is None else pairs).select("codigo_ibge", "grupo_desastre").distinct()
+    rows = scored(model, requested(occurrences, season(pairs, year), climate))
+    most = F.max("prob_alto").over(Window.partitionBy("codigo_ibge", "grupo_desastre"))  # twelve rows
+    rows = rows.withColumns({"altura": F.col("prob_alto") / F.greatest(most, F.lit(0.01)), "pico": F.col("prob_alto") == most})
+    return rows.select("codigo_ibge", "grupo_desastre", F.col("ano").cast("int").alias("ano"), F.col("mes").cast("int").alias("mes"), "nivel", *(f"prob_{c}" for c in contract.CLASSES), "altura", "pico")
+
+
 def calendar(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"ano": year_of(F.col("indice_mes")), "mes": month_of(F.col("indice_mes"))})

@@ -11,7 +11,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hazardspark import contract
-from hazardspark.operators import selection, trees
+from hazardspark.functions.storage import fresh
+from hazardspark.operators import scoring, selection, trees
 from hazardspark.operators.frequency import KEYS, Frequent
 from hazardspark.operators.training import Forest
 from hazardspark.plans import domain
@@ -218,7 +219,49 @@ def _node_importance(spark, d):
 
 _INPUTS = " UNION ALL ".join(f"SELECT '{c}' AS variavel, true AS igual, true AS soma_um" for c in [*contract.MODEL_NUMERIC, *contract.MODEL_CATEGORICAL])
 
+SEASON, MAP_LEAF = 2002, 10
+MONTHS = [(2001, 12), (2002, 1), (2002, 2), (2002, 3)]
+
+
+def _cell_model(spark, d):
+    return Frequent.fit(domain.labelled(spark, d), None, MAP_LEAF)
+
+
+def _map(spark, d):
+    path = fresh(spark, "map")
+    scoring.write_map(_cell_model(spark, d), domain.occurrences(spark, d), spark.createDataFrame(MONTHS, "ano int, mes int"), path)
+    return scoring.map_summary(scoring.read_map(spark, path))
+
+
+def _season(spark, d):
+    found = scoring.season_profile(_cell_model(spark, d), domain.occurrences(spark, d), SEASON)
+    return _six(found.select("codigo_ibge", "grupo_desastre", "mes", "nivel", "prob_alto", "altura", "pico"), "altura")
+
+
+def _map_sql(months: str) -> str:
+    """Scores of the cells for every pair of place and group, at the months given."""
+    depth = len(KEYS)
+    joins = "".join(f" LEFT JOIN g_c{i} ON " + " AND ".join(f"r.{k} = g_c{i}.{k}" for k in KEYS[:i]) for i in range(depth, 0, -1))
+    weights = ", ".join("coalesce(" + ", ".join(f"g_c{i}.{w}" for i in range(depth, -1, -1)) + f") AS {w}" for w in "bma")
+    return (
+        f"WITH {LAB}, {_cells('g', 'lab', 'true', depth, MAP_LEAF)}, r AS (SELECT DISTINCT codigo_ibge, grupo_desastre, regiao, ano, mes FROM (SELECT DISTINCT codigo_ibge, grupo_desastre, regiao FROM occ), {months} t(ano, mes)), "
+        f"w AS (SELECT r.*, {weights} FROM r{joins}, g_c0), s AS (SELECT *, round(b / (b + m + a), 4) AS pb, round(m / (b + m + a), 4) AS pm, round(a / (b + m + a), 4) AS pa FROM w), "
+        "x AS (SELECT *, CASE WHEN pb >= pm AND pb >= pa THEN 'baixo' WHEN pm >= pa THEN 'medio' ELSE 'alto' END AS nivel FROM s)"
+    )
+
+
+_MAP = (
+    _map_sql("(VALUES " + ", ".join(map(str, MONTHS)) + ")")
+    + " SELECT grupo_desastre, CAST(ano AS INTEGER) AS ano, CAST(mes AS INTEGER) AS mes, count(*) FILTER (nivel = 'baixo') AS baixo, count(*) FILTER (nivel = 'medio') AS medio, count(*) FILTER (nivel = 'alto') AS alto, count(*) AS total FROM x GROUP BY ALL"
+)
+_SEASON = (
+    _map_sql("(VALUES " + ", ".join(f"({SEASON}, {m})" for m in range(1, 13)) + ")")
+    + ", h AS (SELECT *, max(pa) OVER (PARTITION BY codigo_ibge, grupo_desastre) AS most FROM x) SELECT codigo_ibge, grupo_desastre, CAST(mes AS INTEGER) AS mes, nivel, pa AS prob_alto, round(pa / greatest(most, 0.01), 6) AS altura, pa = most AS pico FROM h"
+)
+
 QUERIES = {
+    "m15_scored_map": (_map, _MAP),
+    "w13_season_profile": (_season, _SEASON),
     "m2_m13_votes_by_nodes": (_votes, f"WITH {LAB} SELECT codigo_ibge, grupo_desastre, CAST(indice_mes AS INTEGER) AS indice_mes, true AS votos_iguais, CAST(100 AS DOUBLE) AS votos FROM lab WHERE ano >= {TEST}"),
     "m12_importance_by_nodes": (_node_importance, _INPUTS),
     "m6_walk_forward": (_walk, _walk_sql()),
