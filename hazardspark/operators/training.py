@@ -21,6 +21,7 @@ class Forest:
 
     def __init__(self, numeric: list[str], categorical: list[str], fills: dict, encoding: PipelineModel, model: RandomForestClassificationModel):
         self.numeric, self.categorical, self.fills, self.encoding, self.model = numeric, categorical, fills, encoding, model
+        self.facts: dict = {}
 
     @staticmethod
     def _filled(rows: DataFrame, numeric: list[str], fills: dict) -> DataFrame:
@@ -63,6 +64,7 @@ class Forest:
         return spark.createDataFrame(rows, "variavel string, importancia double").groupBy("variavel").agg(F.sum("importancia").alias("importancia")).orderBy(F.desc("importancia"), "variavel")
 
     def save(self, path: str, **facts) -> None:
+        """Pipeline, forest, and one row of what is known of them; ``facts`` as ``facts_of`` gives, or any other."""
         spark = SparkSession.getActiveSession()
         self.encoding.write().overwrite().save(f"{path}/encoding")
         self.model.write().overwrite().save(f"{path}/forest")
@@ -74,7 +76,23 @@ class Forest:
         known = json.loads(spark.read.text(f"{path}/metadata").first()[0])
         if known["assinatura"] != contract.signature():
             raise ValueError("the model was trained under another data contract")
-        return cls(known["numericas"], known["categoricas"], known["preenchimento"], PipelineModel.load(f"{path}/encoding"), RandomForestClassificationModel.load(f"{path}/forest"))
+        model = cls(known["numericas"], known["categoricas"], known["preenchimento"], PipelineModel.load(f"{path}/encoding"), RandomForestClassificationModel.load(f"{path}/forest"))
+        model.facts = known
+        return model
+
+
+def facts_of(rows: DataFrame) -> dict:
+    """What a saved model says of its training rows: how many, the years, each class, the groups, and a hash that the order of rows does not change.
+
+    One pass; the groups are a handful by contract.
+    """
+    row = F.xxhash64(*sorted(rows.columns))
+    found = rows.agg(
+        F.count("*").alias("linhas"), F.min("ano").alias("ano_inicial"), F.max("ano").alias("ano_final"), *(F.count_if(F.col(contract.TARGET) == c).alias(f"_{c}") for c in contract.CLASSES),
+        F.array_sort(F.collect_set("grupo_desastre")).alias("grupos"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("_x"), F.coalesce(F.sum(F.shiftright(row, 16)), F.lit(0)).alias("_s"),
+    ).first().asDict()
+    classes = {c: found.pop(f"_{c}") for c in contract.CLASSES}
+    return {"dados_hash": f"{found.pop('_x') & (2**64 - 1):016x}{found.pop('_s') & (2**64 - 1):016x}", "classes": classes, **found}
 
 
 def evaluate(model: Forest, rows: DataFrame) -> DataFrame:

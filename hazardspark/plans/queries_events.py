@@ -12,6 +12,8 @@ from hazardspark.plans.domain import FIRST, LAST, MON, OCC
 from hazardspark.sources import events
 
 SERIES = ["codigo_ibge", "grupo_desastre"]
+#: Signs of one letter, of several, with marks and of other scripts, and what they are once normalised.
+SIGNS = {"№ 5": "no 5", "™": "tm", "㎞²": "km2", "Ⅻ": "xii", "⑫": "12", "½ x": "1 2 x", "ά": "α", "が": "か", "Ａｂ": "ab", "ﬁm º": "fim o", "c\u0327a\u0303o": "cao"}
 
 
 def _six(rows, *names):
@@ -164,6 +166,14 @@ QUERIES = {
         f"WITH {OCC}, a AS (SELECT codigo_ibge, min(municipio) AS municipio, min(uf) AS uf, min(regiao) AS regiao, count(*) AS ocorrencias FROM occ GROUP BY codigo_ibge) "
         "SELECT * FROM a WHERE contains(lower(municipio), 'r#00000001') ORDER BY uf, municipio, codigo_ibge LIMIT 50",
     ),
+    "t4_search_total": (
+        lambda s, d: directory.search(directory.municipalities(domain.occurrences(s, d)), "r#0000000", "asia", 1)[1],
+        f"WITH {OCC}, a AS (SELECT codigo_ibge, min(municipio) AS municipio, min(uf) AS uf FROM occ GROUP BY codigo_ibge) SELECT count(*) AS total FROM a WHERE contains(lower(municipio), 'r#0000000') AND uf = 'ASIA'",
+    ),
+    "p14_compatible_signs": (
+        lambda s, d: domain.table(s, d, "documents").select("doc_id", normalise(F.concat("source", F.element_at(F.lit(list(SIGNS)), F.pmod("doc_id", F.lit(len(SIGNS))).cast("int") + 1))).alias("texto")),
+        f"SELECT doc_id, source || {list(SIGNS.values())}[doc_id % {len(SIGNS)} + 1] AS texto FROM documents",
+    ),
     "a11_profile": (
         lambda s, d: directory.profile(domain.months(s, d)),
         f"WITH {MON} SELECT count(*) AS linhas, min(ano) AS ano_inicial, max(ano) AS ano_final, count(DISTINCT codigo_ibge) AS municipios, count(DISTINCT uf) AS ufs FROM mon",

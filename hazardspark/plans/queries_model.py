@@ -208,6 +208,30 @@ def _inflation(spark, d):
     return _six(spark.createDataFrame(dropped[:1], "coluna string, inflacao double"), "inflacao")
 
 
+def _drops(spark, d):
+    """How inflated the worst of three columns is, and then the worse of the two that stay."""
+    names = ["afetados", "mortos", "ano"]
+    _, dropped = inference.without_collinear(domain.labelled(spark, d).select(*(F.col(c).cast("double").alias(c) for c in names)), names, 0.0)
+    return _six(spark.createDataFrame([(i + 1, v) for i, (_, v) in enumerate(dropped)], "ordem int, inflacao double"), "inflacao")
+
+
+#: What a table of orders should have, for the check of columns.
+WANTED = ["o_orderkey", "o_custkey", "o_orderdate", "o_region", "o_hazard"]
+
+
+def _columns(spark, d):
+    """Columns that the orders lack or have beside those wanted, and the check of a table without rows."""
+    orders = domain.table(spark, d, "orders")
+    empty = quality.counters(domain.months(spark, d).where("ano < 0"), RULES)
+    return quality.columns(orders, WANTED).unionByName(empty)
+
+
+_COLUMNS = (
+    f"WITH {MON}, c AS (SELECT column_name AS c FROM (DESCRIBE orders)), w AS (SELECT unnest({WANTED}) AS c) SELECT 'colunas' AS \"check\", c AS coluna, 'erro' AS severidade, CAST(1 AS BIGINT) AS n, 'falta' AS detalhe FROM w WHERE c NOT IN (SELECT c FROM c) "
+    "UNION ALL SELECT 'colunas', c, 'aviso', 1, 'a mais' FROM c WHERE c NOT IN (SELECT c FROM w) UNION ALL SELECT 'linhas', '', 'erro', 1, 'tabela vazia' WHERE (SELECT count(*) FROM mon WHERE ano < 0) = 0"
+)
+
+
 def _fills(spark, d):
     rows = domain.labelled(spark, d).select(F.when(F.col("mes") != 3, F.col("afetados")).alias("afetados"), F.when(F.col("mes") != 4, F.col("uf")).alias("uf"), "regiao")
     filled = features.Fills(rows, ["afetados"], ["uf"]).apply(rows)
@@ -329,6 +353,13 @@ QUERIES = {
         f"WITH {LAB}, r AS (SELECT corr(afetados, mortos) AS am, corr(afetados, ano) AS ay, corr(mortos, ano) AS my FROM lab), d AS (SELECT *, 1 + 2 * am * ay * my - am * am - ay * ay - my * my AS det FROM r), "
         "v AS (SELECT 'afetados' AS coluna, (1 - my * my) / det AS v FROM d UNION ALL SELECT 'mortos', (1 - ay * ay) / det FROM d UNION ALL SELECT 'ano', (1 - am * am) / det FROM d) SELECT coluna, round(v, 6) AS inflacao FROM v ORDER BY v DESC LIMIT 1",
     ),
+    "o5_inflation_of_drops": (
+        _drops,
+        f"WITH {LAB}, r AS (SELECT corr(afetados, mortos) AS am, corr(afetados, ano) AS ay, corr(mortos, ano) AS my FROM lab), d AS (SELECT *, 1 + 2 * am * ay * my - am * am - ay * ay - my * my AS det FROM r), "
+        "v AS (SELECT (1 - my * my) / det AS v, my AS rest FROM d UNION ALL SELECT (1 - ay * ay) / det, ay FROM d UNION ALL SELECT (1 - am * am) / det, am FROM d), w AS (SELECT * FROM v ORDER BY v DESC LIMIT 1) "
+        "SELECT 1 AS ordem, round(v, 6) AS inflacao FROM w UNION ALL SELECT 2, round(1 / (1 - rest * rest), 6) FROM w",
+    ),
+    "v1_columns": (_columns, _COLUMNS),
     "o6_o8_region_odds": (
         _region_odds,
         _REGIONS + " SELECT variavel, round(b, 6) AS coeficiente, round(s, 6) AS erro_padrao, round(odds, 6) AS odds_ratio, round(low, 6) AS ic95_inferior, round(high, 6) AS ic95_superior, round(p, 6) AS p_valor, round(abs(b), 6) AS forca, clear AS significativo, true AS confiavel FROM p",

@@ -11,12 +11,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hazardspark import contract
-from hazardspark.functions.storage import fresh
+from hazardspark.functions.storage import fresh, written
 from hazardspark.operators import scoring, selection, trees
 from hazardspark.operators.frequency import KEYS, Frequent
-from hazardspark.operators.training import Forest
+from hazardspark.operators.training import Forest, facts_of
 from hazardspark.plans import domain
-from hazardspark.plans.domain import LAB
+from hazardspark.plans.domain import LAB, MON
 
 LEAST, VALIDATION, TEST = 3, 1999, 2000
 CANDIDATES = [(0, 1), (1, 5), (2, 5), (2, 40), (None, 5)]
@@ -259,7 +259,27 @@ _SEASON = (
     + ", h AS (SELECT *, max(pa) OVER (PARTITION BY codigo_ibge, grupo_desastre) AS most FROM x) SELECT codigo_ibge, grupo_desastre, CAST(mes AS INTEGER) AS mes, nivel, pa AS prob_alto, round(pa / greatest(most, 0.01), 6) AS altura, pa = most AS pico FROM h"
 )
 
+def _saved(spark, d):
+    """A model saved with the facts of its rows, loaded again: facts, and rows that both predict alike."""
+    rows = written(domain.described(spark, d), "described")
+    path = fresh(spark, "model")
+    model = Forest.fit(rows, 5, 4, **FOREST)
+    model.save(path, **facts_of(rows))
+    again = Forest.load(spark, path)
+    known, same = again.facts, again.facts["dados_hash"] == facts_of(rows)["dados_hash"]
+    both = model.transform(rows).select(*ROW, F.col("previsto").alias("a")).join(again.transform(rows).select(*ROW, F.col("previsto").alias("b")), ROW)
+    counts = both.agg(F.count_if(F.col("a") == F.col("b")).alias("iguais"))
+    return counts.select(*(F.lit(known[k]).alias(k) for k in ("ano_inicial", "ano_final")), *(F.lit(known["classes"][c]).cast("long").alias(c) for c in contract.CLASSES), F.lit(known["linhas"]).cast("long").alias("linhas"), F.lit(len(known["grupos"])).alias("grupos"), F.lit(same).alias("hash_confere"), "iguais")
+
+
+_SAVED = (
+    f"WITH {MON}, l AS (SELECT *, CASE WHEN reconhecido OR mortos > 0 THEN 'alto' WHEN row_number() OVER (PARTITION BY codigo_ibge, grupo_desastre ORDER BY indice_mes) = 1 THEN 'baixo' ELSE 'medio' END AS level FROM mon) "
+    "SELECT min(ano) AS ano_inicial, max(ano) AS ano_final, count(*) FILTER (level = 'baixo') AS baixo, count(*) FILTER (level = 'medio') AS medio, count(*) FILTER (level = 'alto') AS alto, "
+    "count(*) AS linhas, CAST(count(DISTINCT grupo_desastre) AS INTEGER) AS grupos, true AS hash_confere, count(*) AS iguais FROM l"
+)
+
 QUERIES = {
+    "s11_saved_model": (_saved, _SAVED),
     "m15_scored_map": (_map, _MAP),
     "w13_season_profile": (_season, _SEASON),
     "m2_m13_votes_by_nodes": (_votes, f"WITH {LAB} SELECT codigo_ibge, grupo_desastre, CAST(indice_mes AS INTEGER) AS indice_mes, true AS votos_iguais, CAST(100 AS DOUBLE) AS votos FROM lab WHERE ano >= {TEST}"),

@@ -91,8 +91,13 @@ def test_forest(spark, yearly, tmp_path):
     assert training.evaluate(model, test).first().acuracia_balanceada > 0.6
     importance = {r.variavel: r.importancia for r in model.importance().collect()}
     assert sum(importance.values()) == pytest.approx(1) and set(importance) == {"x1", "x2", "grupo_desastre"} and importance["x1"] == max(importance.values())
-    model.save(str(tmp_path / "m"), origem="teste")
+    facts = training.facts_of(train)
+    assert (facts["linhas"], facts["ano_inicial"], facts["ano_final"], facts["grupos"]) == (720, 2010, 2021, ["GRANIZO"]) and facts["classes"] == {c: 240 for c in contract.CLASSES}
+    assert training.facts_of(train.orderBy("x1"))["dados_hash"] == facts["dados_hash"] != training.facts_of(train.withColumn("x2", F.col("x2") + 1))["dados_hash"]
+    assert training.facts_of(train.limit(0))["linhas"] == 0
+    model.save(str(tmp_path / "m"), origem="teste", **facts)
     again = training.Forest.load(spark, str(tmp_path / "m"))
+    assert again.facts["origem"] == "teste" and {k: again.facts[k] for k in facts} == facts
     a, b = (sorted((r.codigo_ibge, r.ano, r.previsto, tuple(r.probability)) for r in m.transform(test).collect()) for m in (model, again))
     assert a == b
 
