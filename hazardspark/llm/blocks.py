@@ -26,7 +26,7 @@ BLOCK = 8 << 20
 #: Rows drawn for each block, to find splitters; low bits of a block's number, those above number its range.
 DRAWN, PART = 256, 12
 MOST = (1 << 63) - 1
-SENT = "block int, bucket int, sent binary"
+SENT = "block long, bucket int, sent binary"
 
 
 def block_of(key: Column, splitters: list[int]) -> Column:
@@ -47,7 +47,7 @@ def with_blocks(docs: DataFrame, size: int = BLOCK, carried: list[str] = ()) ->
     total, least = docs.agg(F.sum(weight), F.min("doc_id")).first()
     count = max(1, -(-(total or 0) // size))
     if count == 1:
-        return _packed(docs.withColumn("block", F.lit(0)))
+        return _packed(docs.withColumn("block", F.lit(0).cast("long")))
     times = F.floor(weight * (DRAWN / size) + F.rand(7)).cast("int")
     drawn = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.array_repeat(F.lit(0), times)))
     several = drawn.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b")).where((F.col("n") >= DRAWN) & (F.col("a") < F.col("b")))
@@ -56,7 +56,7 @@ def with_blocks(docs: DataFrame, size: int = BLOCK, carried: list[str] = ()) ->
     splitters = {int(x) for x in drawn.where("doc_id IS NOT NULL").approxQuantile("doc_id", cuts, 0.1 / count)} if least is not None else set()
     splitters |= {x for h in heavy if h is not None for x in (h, h + 1) if x < MOST}
     ordered = sorted(splitters)
-    number = block_of(F.col("doc_id"), ordered).cast("int")
+    number = block_of(F.col("doc_id"), ordered).cast("long")  # 64 bits: ranges and parts of 100 TB fit
     if not heavy:
         return _packed(docs.withColumn("block", F.shiftleft(number, PART)))
     number = F.when(F.col("doc_id").isNull(), len(ordered) + 1).otherwise(number)
@@ -82,16 +82,16 @@ def _packed(rows: DataFrame) -> DataFrame:
                 with pa.ipc.new_stream(sink, part.schema, options=options) as stream:
                     stream.write_batch(part)
                 out.append((int(numbers[order[a]]), sink.getvalue().to_pybytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["block", "packed"])
 
-    return rows.mapInArrow(run, "block int, packed binary")
+    return rows.mapInArrow(run, "block long, packed binary")
 
 
 def unpack(rows: pa.Table) -> pa.Table:
     """The rows of a block: doc_id, text, the carried columns and block; none without rows."""
     kept(None, None)  # what other operators left in this worker
     parts = [pa.ipc.open_stream(x).read_all() for x in rows.column("packed").to_pylist()]
-    return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "block": pa.array([], pa.int32())})
+    return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "block": pa.array([], pa.int64())})
 
 
 def buckets(docs: DataFrame) -> int:
@@ -108,16 +108,20 @@ def send(block: int, keys: np.ndarray, count: int, width: int = 8) -> pa.Table:
     raw = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
     ends = _ends(keys, count)
     full = [b for b in range(count) if ends[b] < ends[b + 1]]
-    return pa.table({"block": pa.array([block] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "sent": pa.array([raw[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary())})
+    return pa.table({"block": pa.array([block] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "sent": pa.array([raw[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary())})
 
 
 def meet(rows: pa.Table, answer: Callable, dtype: str, width: int = 8) -> pa.Table:
-    """``answer(keys, blocks, starts)``: over keys sorted by key and block, the result of each."""
-    blocks, sent = rows.column("block").to_numpy(), rows.column("sent").to_pylist()
+    """``answer(keys, blocks, starts)``: over keys sorted by key and block, the result of each.
+
+    Blocks stand there by their place among the blocks of this bucket, in 4 bytes for each key.
+    """
+    places = np.unique(rows.column("block").to_numpy(), return_inverse=True)[1].astype(np.int32)
+    sent = rows.column("sent").to_pylist()
     sizes = np.array([len(s) // width for s in sent])
     raw = np.zeros((int(sizes.sum()), 8), np.uint8)
     raw[:, :width] = np.frombuffer(b"".join(sent), np.uint8).reshape(-1, width)
-    keys, owners = raw.reshape(-1).view("<u8"), np.repeat(blocks, sizes)
+    keys, owners = raw.reshape(-1).view("<u8"), np.repeat(places, sizes)
     order = np.lexsort((owners, keys))
     ordered = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
@@ -141,12 +145,6 @@ def in_smaller(keys: np.ndarray, blocks: np.ndarray, starts: np.ndarray) -> np.n
     return out
 
 
-def in_smaller_range(keys: np.ndarray, blocks: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Whether each key is in a block of smaller doc_ids; blocks that share one doc_id are no smaller than each other."""
-    ranges = blocks >> PART
-    return ranges > np.repeat(ranges[starts], np.diff(np.append(starts, len(keys))))
-
-
 def answers_of(met: pa.Table) -> list[np.ndarray]:
     """One-byte answers of each row of a bucket."""
     return [np.frombuffer(x, np.uint8) for x in met.column("sent").to_pylist()]

@@ -148,7 +148,7 @@ def score(docs: DataFrame) -> DataFrame:
         number, ends = rows.column("block")[0].as_py(), blocks._ends(keys, count)
         full = [(b, ends[b], ends[b + 1]) for b in range(count) if ends[b] < ends[b + 1]]
         sent = [_sent(keys[a:z], counts[a:z]) for _, a, z in full]
-        return pa.table({"block": pa.array([number] * len(full), pa.int32()), "bucket": pa.array([b for b, *_ in full], pa.int32()), "size": pa.array([z - a for _, a, z in full], pa.int32()), "sent": pa.array(sent, pa.binary())})
+        return pa.table({"block": pa.array([number] * len(full), pa.int64()), "bucket": pa.array([b for b, *_ in full], pa.int32()), "size": pa.array([z - a for _, a, z in full], pa.int32()), "sent": pa.array(sent, pa.binary())})
 
     def summed(rows: pa.Table) -> pa.Table:
         sizes = rows.column("size").to_pylist()
@@ -171,7 +171,7 @@ def score(docs: DataFrame) -> DataFrame:
         mean = pa.array(total / np.maximum(sizes, 1), mask=sizes == 0)
         return pa.table({"doc_id": held.shown, "n_tokens": pa.array(sizes, pa.int64()), "score": pa.array(total), "mean_score": mean})
 
-    kind = "block int, bucket int, size int, sent binary"
+    kind = "block long, bucket int, size int, sent binary"
     sums = grouped.applyInArrow(first, kind).groupBy("bucket").applyInArrow(summed, kind)
     return grouped.cogroup(sums.groupBy("block")).applyInArrow(second, OUT)
 

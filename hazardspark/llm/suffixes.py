@@ -317,7 +317,7 @@ class Suffixes:
         heads = self.heads[order]
         starts = np.flatnonzero(_first(bucket))
         sent = [_packed(self.words[heads[a:b]], self.id[heads[a:b]]) for a, b in zip(starts, np.append(starts, len(bucket))[1:], strict=True)]
-        return pa.table({"block": pa.array([block] * len(starts), pa.int32()), "bucket": pa.array(bucket[starts].astype(np.int32)), "sent": pa.array(sent, pa.binary())})
+        return pa.table({"block": pa.array([block] * len(starts), pa.int64()), "bucket": pa.array(bucket[starts].astype(np.int32)), "sent": pa.array(sent, pa.binary())})
 
     def gone(self, masks: np.ndarray, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document and place of each string that goes, given what came back for the heads."""
@@ -396,7 +396,7 @@ def _removed(docs: DataFrame, schema, results) -> DataFrame:
         bucket = ((held.whole[:, 0] >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int32)
         starts = np.flatnonzero(_first(bucket))
         return pa.table({
-            "block": pa.array([_number(rows)] * len(starts), pa.int32()), "bucket": pa.array(bucket[starts], pa.int32()),
+            "block": pa.array([_number(rows)] * len(starts), pa.int64()), "bucket": pa.array(bucket[starts], pa.int32()),
             "sent": pa.array([held.whole[a:b].tobytes() for a, b in zip(starts, np.append(starts, len(bucket))[1:], strict=True)], pa.binary()),
         })
 
@@ -404,7 +404,7 @@ def _removed(docs: DataFrame, schema, results) -> DataFrame:
         if not rows.num_rows:
             return blocks.send(0, np.empty(0, np.uint64), count, WIDTH)
         keys, here = Block(rows, found).samples()
-        # keys that two texts of the block have go under a number below 0
+        # keys that two texts of the block have go under a number below 0, which no block has
         return release(pa.concat_tables([blocks.send(_number(rows), keys[~here], count, WIDTH), blocks.send(~_number(rows), keys[here], count, WIDTH)]))
 
     def second(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -438,7 +438,7 @@ def _copies(rows: pa.Table) -> pa.Table:
     sent = rows.column("sent").to_pylist()
     sizes = np.array([len(x) // 16 for x in sent])
     keys = np.frombuffer(b"".join(sent), "<u8").reshape(-1, 2)
-    ranges = np.repeat(rows.column("block").to_numpy() >> blocks.PART, sizes)
+    ranges = np.repeat(np.unique(rows.column("block").to_numpy() >> blocks.PART, return_inverse=True)[1].astype(np.int32), sizes)
     order, new = multikey(keys)
     starts = np.flatnonzero(new)
     least = np.minimum.reduceat(ranges[order], starts)
@@ -482,7 +482,7 @@ def _met(rows: pa.Table) -> pa.Table:
         if len(shared):
             out.setdefault(max(number, ~number), []).append(shared.tobytes())
     bucket = rows.column("bucket")[0].as_py()
-    return pa.table({"block": pa.array(list(out), pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "sent": pa.array([b"".join(v) for v in out.values()], pa.binary())})
+    return pa.table({"block": pa.array(list(out), pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int32()), "sent": pa.array([b"".join(v) for v in out.values()], pa.binary())})
 
 
 def _digests(held: Block, kept: list[tuple[int, int, bytes]]) -> pa.Table:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from hazardspark.llm import blocks, lm, suffixes
+from hazardspark.llm import blocks, jaccard, lm, suffixes
 from tests.llm import test_lm, test_suffixes
 
 SIZE = 2000
@@ -38,3 +38,20 @@ def test_results_with_heavy_ids(spark, monkeypatch):
     assert sorted((tuple(r) for r in suffixes.remove_repeats(docs).collect()), key=str) == test_suffixes.brute(rows())
     got = sorted(((r.doc_id, r.n_tokens, pytest.approx(r.score, abs=1e-5)) for r in lm.score(docs).collect()), key=lambda x: (str(x[0]), x[1], x[2].expected))
     assert got == sorted(test_lm.brute(rows()), key=lambda x: (str(x[0]), x[1], x[2]))
+
+
+def test_numbers_above_32_bits(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PART", 34)
+    cut = blocks.with_blocks
+    monkeypatch.setattr(blocks, "with_blocks", lambda d, size=0, carried=(): cut(d, SIZE, carried))
+    docs = spark.createDataFrame(rows(), "doc_id long, text string")
+    numbers = [r.block for r in blocks.with_blocks(docs).select("block").distinct().collect()]
+    assert max(numbers) > 2**36 and min(numbers) >= 0
+    assert sorted((tuple(r) for r in suffixes.remove_repeats(docs).collect()), key=str) == test_suffixes.brute(rows())
+    got = sorted(((r.doc_id, r.n_tokens, pytest.approx(r.score, abs=1e-5)) for r in lm.score(docs).collect()), key=lambda x: (str(x[0]), x[1], x[2].expected))
+    assert got == sorted(test_lm.brute(rows()), key=lambda x: (str(x[0]), x[1], x[2]))
+    few = [(i, t) for i, t in rows() if i is not None and i > 40][:200]
+    narrow = spark.createDataFrame(few, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.components(narrow).select("doc_id", "component_id").collect()}
+    monkeypatch.setattr(blocks, "with_blocks", cut)
+    assert found == {r.doc_id: r.component_id for r in jaccard.components(narrow).select("doc_id", "component_id").collect()}
