@@ -5,63 +5,112 @@ rendered once with that speaker as assistant, the others as named users and the
 as it is; the mask has the character spans that the assistant said, each with its end
 mark: what a model is to learn.
 
-Turns are gathered ``PART`` turn numbers at a time, so no dialogue is ever one group: a
-long one comes in parts that follow each other (part 0, 1, ...), spans counting from
-the part's own start. Participants are found by their own small aggregation.
-
-Defined results: a null role is the speaker ``unknown``, null text is empty; turns are
-ordered by turn, then role, then text, so repeated turns all stay; turns without number
-are a part of their own (part null); rows without conv_id are one dialogue; a dialogue
-of the system alone has no participants and gives no rows; ``<|`` in a text or role is
-written ``< |``, and a line end in a role is a blank, so marks come from the template alone; other columns are ignored; an empty
-table gives no rows.
+A dialogue is one row for each perspective, whatever the number of its turns, up to
+``WHOLE`` characters, more than any model reads at once. A longer one goes on in further
+rows: a turn is in part floor(characters before it / ``WHOLE``), counted with every
+speaker as a named user, so that all perspectives are cut at the same turns; each row has
+its own text, and spans counted from that text's start. A row thus holds ``WHOLE``
+characters and one turn at most, and no group is larger than that.
+
+The characters before a turn are sums by range of turn numbers, by turn number, by the
+first digits of the turns' digests and by turn, each within the one before, so no window
+holds a whole dialogue either. Equal turns are one row with a count until they are shown.
+
+Defined results: a null role is the speaker ``unknown``, an empty one has an empty name,
+null text is empty; turns are ordered by turn, those without number first, then by the
+MD5 of role and text, so repeated turns all stay; rows without conv_id are one dialogue;
+a dialogue of the system alone has no participants and gives no rows; ``<|`` in a text is
+written ``< |``; in a role ``\\``, line ends and ``<|`` are written with a ``\\``, so
+different roles stay different and marks come from the template alone; part numbers skip
+where one turn is longer than ``WHOLE``; other columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import let, table
-
-PART, SYSTEM = 64, "system"
-
-
-def _head(role: Column, perspective: Column) -> Column:
-    who = F.when(role == perspective, F.lit("assistant")).when(role == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), role))
-    return F.concat(F.lit("<|im_start|>"), who, F.lit("\n"))
-
-
-def _safe(said: Column) -> Column:
-    return F.replace(said, F.lit("<|"), F.lit("< |"))
-
-
-def _spans(segments: Column) -> Column:
-    """Start and end of each segment that is the perspective's own."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(state: Column, s: Column) -> Column:
-        end = state["at"] + F.length(s["head"]) + F.length(s["body"])
-        span = F.struct((state["at"] + F.length(s["head"])).alias("start"), end.alias("end"))
-        return F.struct((end + 1).alias("at"), F.when(s["own"], F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
-
-    return F.aggregate(segments, start, step, lambda state: state["spans"])
+from hazardspark.llm.common import table
+
+WHOLE, SYSTEM = 1 << 20, "system"
+#: Turn numbers of a range, as bits; digits of a digest that divide the turns of one number.
+RANGE, DIGITS = 12, 3
+UNNUMBERED = -(1 << 63)
+START, END = "<|im_start|>", "<|im_end|>"
+
+
+def _role(role: Column) -> Column:
+    role = F.coalesce(role.cast("string"), F.lit("unknown"))
+    for sign, written in (("\\", "\\\\"), ("\r", "\\r"), ("\n", "\\n"), ("<|", "<\\|")):
+        role = F.replace(role, F.lit(sign), F.lit(written))
+    return role
+
+
+def _name(role: Column) -> Column:
+    return F.when(role == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), role))
+
+
+def _starts(rows: DataFrame, keys: list[str], order: list[str], above: DataFrame | None = None) -> DataFrame:
+    """``rows`` with at: the sizes before each, in order within its group, which begins where ``above`` says."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    if above is None:
+        return rows
+    above = above.select(*keys, F.col("at").alias("begin"))
+    return rows.join(above, keys).withColumn("at", F.col("at") + F.col("begin")).drop("begin")
+
+
+def _parts(rows: DataFrame, whole: int) -> DataFrame:
+    """conv, part, conv_id and turns: (role, text, at) in order."""
+    levels = [["conv"], ["conv", "range"], ["conv", "range", "number"], ["conv", "range", "number", "digits"]]
+    total = F.sum("size").alias("size")
+    by_digits = rows.groupBy(levels[3]).agg(total)
+    by_number = by_digits.groupBy(levels[2]).agg(total)
+    at = _starts(by_number.groupBy(levels[1]).agg(total), levels[0], ["range"])
+    at = _starts(by_number, levels[1], ["number"], at)
+    at = _starts(by_digits, levels[2], ["digits"], at)
+    one = "size AS each", "count AS copies", "size * count AS size"
+    said = rows.groupBy(*levels[3], "conv_id", "tie", "role", "text", "size").count().selectExpr(*levels[3], "conv_id", "tie", "role", "text", *one)
+    said = _starts(said, levels[3], ["tie", "role", "text"], at)
+    # the copies of a turn that each part has
+    first, last = F.expr(f"at div {whole}"), F.expr(f"(at + size - each) div {whole}")
+    said = said.withColumn("part", F.explode(F.sequence(first, last)))
+    said = said.withColumn("a", F.expr(f"greatest(0L, (part * {whole} - at + each - 1) div each)"))
+    said = said.withColumn("b", F.expr(f"least(copies, ((part + 1) * {whole} - at + each - 1) div each)")).where("a < b")
+    turn = F.struct("number", "tie", "role", "text", "at", "each", "a", "b")
+    parts = said.groupBy("conv", "part").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    copies = lambda t: F.transform(
+        F.sequence(t["a"], t["b"] - 1), lambda i: F.struct(t["role"].alias("role"), t["text"].alias("text"), (t["at"] + i * t["each"]).alias("at"))
+    )
+    return parts.withColumn("turns", F.flatten(F.transform("turns", copies)))
 
 
-def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
+def rotate(turns: DataFrame, whole: int = WHOLE) -> DataFrame:
     """conv_id, part, perspective, n_turns, text, mask."""
     rows = turns.select(
-        "conv_id", F.floor(F.col("turn") / part).cast("long").alias("part"), "turn",
-        _safe(F.regexp_replace(F.coalesce("role", F.lit("unknown")), "[\r\n]", " ")).alias("role"), _safe(F.coalesce("text", F.lit(""))).alias("text"),
-    )
-    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    speakers = rows.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("role").alias("perspective")).distinct()
-    seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv")))
-    segments = F.transform(
-        "turns", lambda t: F.struct(_head(t["role"], F.col("perspective")).alias("head"), F.concat(t["text"], F.lit("<|im_end|>")).alias("body"), (t["role"] == F.col("perspective")).alias("own"))
-    )
-    shown = let(segments, lambda s: F.struct(F.array_join(F.transform(s, lambda x: F.concat(x["head"], x["body"], F.lit("\n"))), "").alias("text"), _spans(s).alias("mask")))
-    return seen.select("conv_id", "part", "perspective", F.size("turns").alias("n_turns"), shown.alias("shown")).select("conv_id", "part", "perspective", "n_turns", "shown.text", "shown.mask")
+        "conv_id", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conv"),
+        F.coalesce(F.col("turn").cast("long"), F.lit(UNNUMBERED)).alias("number"), _role(F.col("role")).alias("role"),
+        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
+    )
+    signs = F.length("text") + F.length(_name(F.col("role"))) + len(START) + len(END) + 2
+    rows = rows.withColumns({"range": F.shiftright("number", RANGE), "tie": F.md5(F.concat_ws("\n", "role", "text")), "size": signs.cast("long")})
+    rows = rows.withColumn("digits", F.substring("tie", 1, DIGITS))
+    speakers = rows.where(F.col("role") != SYSTEM).select("conv", F.col("role").alias("perspective")).distinct()
+    seen = _parts(rows, whole).join(speakers, "conv")
+    who = F.col("perspective")
+    shown = F.transform("turns", lambda t: F.concat(
+        F.lit(START), F.when(t["role"] == who, F.lit("assistant")).otherwise(_name(t["role"])), F.lit("\n"), t["text"], F.lit(END + "\n")
+    ))
+    # each turn of one's own is shorter by what "user name=" and the name have more than "assistant"
+    less = F.length(who) + len("user name=") - len("assistant")
+
+    def span(t: Column, before: Column) -> Column:
+        start = t["at"] - F.col("turns")[0]["at"] - before * less + len(START + "assistant\n")
+        return F.struct(start.cast("int").alias("start"), (start + F.length(t["text"]) + len(END)).cast("int").alias("end"))
+
+    mask = F.transform(F.filter("turns", lambda t: t["role"] == who), span)
+    return seen.select("conv_id", "part", "perspective", F.size("turns").alias("n_turns"), F.array_join(shown, "").alias("text"), mask.alias("mask"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +120,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH r AS (SELECT conv_id, CAST(floor(turn / 64.0) AS BIGINT) AS part, turn, replace(regexp_replace(coalesce(role, 'unknown'), '[\r\n]', ' ', 'g'), '<|', '< |') AS role,
+WITH q AS (SELECT conv_id, turn, replace(replace(replace(replace(coalesce(role, 'unknown'), '\', '\\'), chr(13), '\r'), chr(10), '\n'), '<|', '<\|') AS role,
                   replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+z AS (SELECT *, md5(role || chr(10) || text) AS tie, length(text) + 24 + CASE WHEN role = 'system' THEN 6 ELSE 10 + length(role) END AS size FROM q),
+r AS (SELECT *, CAST(sum(size) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tie, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before FROM z),
 s AS (SELECT DISTINCT conv_id AS conv, role AS perspective FROM r WHERE role <> 'system'),
-t AS (SELECT r.*, s.perspective, row_number() OVER (PARTITION BY conv_id, part, perspective ORDER BY turn, role, text) AS n,
+t AS (SELECT r.*, before // 1048576 AS part, s.perspective,
+             row_number() OVER (PARTITION BY conv_id, before // 1048576, perspective ORDER BY turn NULLS FIRST, tie, role, text, before) AS n,
              '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
              text || '<|im_end|>' AS body
       FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv),
