@@ -9,7 +9,12 @@ and renames it when complete, so a repeated task leaves one whole file.
 Reading: files are dealt over tasks; each is read front to back in small blocks, one
 gzip member after the other through an incremental decompressor, framed by
 Content-Length. Each block's SHA-1 is held against WARC-Block-Digest, and a response's
-payload against WARC-Payload-Digest.
+payload against WARC-Payload-Digest. Archives of other writers are read as well: every
+record gives a row, of whatever type; what its headers do not say is null. The payload
+of an HTTP message is what follows its head, of any other record the whole block; digests
+of other algorithms than SHA-1 are not verified, nor payload digests of messages with a
+transfer encoding, which writers take before or after decoding. Without a stated
+Content-Length a revisit's payload size is null.
 
 Defined results: null html counts as an empty payload; rows with a repeated page_id
 each give a record (several rows with the largest page_id are all responses); a null
@@ -35,6 +40,15 @@ from hazardspark.llm.common import shared_dir, table
 REVISIT, BLOCK, SALTS = 1000, 1 << 16, 32
 #: The date that each record carries: archives of equal rows are equal.
 DATE = "2024-01-01T00:00:00Z"
+#: The columns of a record as read.
+READ = (
+    "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, "
+    "record_id string, refers_to_record string"
+)
+KINDS = {
+    "page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(),
+    "refers_to": pa.int64(), "payload": pa.binary(), "record_id": pa.string(), "refers_to_record": pa.string(),
+}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -53,6 +67,10 @@ def _digest(content: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(content).digest()).decode()
 
 
+def _record_id(page_id, digest: str, revisit: bool) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}:{revisit}')}>"
+
+
 def record(page_id, url, payload: bytes | None, digest: str, size: int, refers_to) -> bytes:
     """A response (payload given) or a revisit (payload None)."""
     shown = "" if page_id is None else page_id
@@ -60,7 +78,7 @@ def record(page_id, url, payload: bytes | None, digest: str, size: int, refers_t
     block = http if payload is None else http + payload
     headers = {
         "WARC-Type": "revisit" if payload is None else "response",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{shown}:{digest}:{payload is None}')}>",
+        "WARC-Record-ID": _record_id(shown, digest, payload is None),
         "WARC-Date": DATE,
         "WARC-Target-URI": "".join(x for x in (url or "") if x not in "\r\n"),
         "Content-Type": "application/http; msgtype=response",
@@ -69,7 +87,7 @@ def record(page_id, url, payload: bytes | None, digest: str, size: int, refers_t
         "WARC-Block-Digest": _digest(block),
     }
     if payload is None:
-        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To-Page-ID": str(refers_to)}
+        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To-Page-ID": str(refers_to), "WARC-Refers-To": _record_id(refers_to, digest, False)}
     return member(headers, block)
 
 
@@ -130,22 +148,67 @@ def members(stream, block: int = BLOCK) -> Iterator[bytes]:
             unpacker, parts = zlib.decompressobj(31), []
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with a blank goes on with the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] = f"{out[name]} {line.strip()}".strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def _sha1(stated: str | None) -> str | None:
+    """A stated SHA-1 (base 32 or hex) as lower-case hex; None for other digests or none."""
+    algorithm, _, value = (stated or "").partition(":")
+    if algorithm.lower().replace("-", "") != "sha1" or len(value) not in (32, 40):
+        return None
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+
+
 def parse(content: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of a record; a wrong frame or digest is an error."""
+    """Headers (lower-case names) and block of a record; a wrong frame or digest is an error."""
     head, _, rest = content.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
+    first, *lines = head.decode(errors="replace").split("\r\n")
     if not first.startswith("WARC/1."):
         raise ValueError(f"not a WARC record: {first[:40]!r}")
-    headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
-    size = int(headers["Content-Length"])
+    headers = _fields(lines)
+    size = int(headers["content-length"])
     block, end = rest[:size], rest[size:]
     if len(block) != size or end != b"\r\n\r\n":
         raise ValueError("the record is not framed as its Content-Length says")
-    if "WARC-Block-Digest" in headers and _digest(block) != headers["WARC-Block-Digest"]:
+    stated = _sha1(headers.get("warc-block-digest"))
+    if stated and hashlib.sha1(block).hexdigest() != stated:
         raise ValueError("the block does not have the digest that the record states")
     return headers, block
 
 
+def _number(value: str | None) -> int | None:
+    return int(value) if value and value.lstrip("-").isdigit() else None
+
+
+def row_of(headers: dict[str, str], block: bytes) -> tuple:
+    """A record as a row of ``read``; a response whose payload lacks its stated digest is an error."""
+    kind, stated = headers["warc-type"].lower(), _sha1(headers.get("warc-payload-digest"))
+    http, payload = {}, block
+    if headers.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        http = _fields(head.decode(errors="replace").split("\r\n")[1:])
+    if kind == "revisit":
+        payload, size, digest = None, _number(http.get("content-length")), stated
+    else:
+        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+        if kind == "response" and stated and digest != stated and "transfer-encoding" not in http:
+            raise ValueError("the payload does not have the digest that the record states")
+    uri = headers.get("warc-target-uri")
+    named = _number(headers.get("warc-page-id")), uri.strip("<>") if uri else uri, kind, size, digest
+    return *named, _number(headers.get("warc-refers-to-page-id")), payload, headers.get("warc-record-id"), headers.get("warc-refers-to")
+
+
 def read(files: DataFrame, folder: str) -> DataFrame:
     """The records of the archives named in the column path, in order within a file."""
 
@@ -156,27 +219,18 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                 with system.open_input_stream(path, compression=None) as stream:
                     rows = []
                     for content in members(stream):
-                        headers, block = parse(content)
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                        response = headers["WARC-Type"] == "response"
-                        if response and hashlib.sha1(payload).hexdigest() != digest:
-                            raise ValueError("the payload does not have the digest that the record states")
-                        size = int(http.decode().rpartition("Content-Length: ")[2])
-                        page, refers = headers["WARC-Page-ID"], headers.get("WARC-Refers-To-Page-ID")
-                        rows.append((int(page) if page else None, headers["WARC-Target-URI"], headers["WARC-Type"], size, digest, int(refers) if refers else None, payload if response else None))
+                        rows.append(row_of(*parse(content)))
                         if len(rows) == 256:
                             yield _batch(rows)
                             rows = []
                     if rows:
                         yield _batch(rows)
 
-    return files.select("path").mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return files.select("path").mapInArrow(run, READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS.values(), strict=True)], names=list(KINDS))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +239,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(table(spark, sf_dir, "pages"), folder).write.parquet(manifest)
     files = spark.read.schema("path string, records long").parquet(manifest)
     files = files.repartitionByRange(max(1, files.count()), "path")
-    return read(files, folder).drop("payload", "url")
+    return read(files, folder).drop("payload", "url", "record_id", "refers_to_record")
 
 
 ORACLE_SQL = """
