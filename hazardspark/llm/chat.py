@@ -14,11 +14,12 @@ characters and one turn at most, and no group is larger than that.
 
 The characters before a turn are sums by range of turn numbers, by turn number, by the
 first digits of the turns' digests and by turn, each within the one before, so no window
-holds a whole dialogue either. Equal turns are one row with a count until they are shown.
+holds a whole dialogue either. Equal turns (by their digest
+of 256 bits) are one row with a count until they are shown.
 
 Defined results: a null role is the speaker ``unknown``, an empty one has an empty name,
 null text is empty; turns are ordered by turn, those without number first, then by the
-MD5 of role and text, so repeated turns all stay; rows without conv_id are one dialogue;
+SHA-256 of role and text, so repeated turns all stay; rows without conv_id are one dialogue;
 a dialogue of the system alone has no participants and gives no rows; ``<|`` in a text is
 written ``< |``; in a role ``\\``, line ends and ``<|`` are written with a ``\\``, so
 different roles stay different and marks come from the template alone; part numbers skip
@@ -36,6 +37,8 @@ from hazardspark.llm.common import table
 WHOLE, SYSTEM = 1 << 20, "system"
 #: Turn numbers of a range, as bits; digits of a digest that divide the turns of one number.
 RANGE, DIGITS = 12, 3
+#: What tells turns apart, from coarse to fine.
+TURN = ["conv", "range", "number", "digits", "tie"]
 UNNUMBERED = -(1 << 63)
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -61,23 +64,24 @@ def _starts(rows: DataFrame, keys: list[str], order: list[str], above: DataFrame
     return rows.join(above, keys).withColumn("at", F.col("at") + F.col("begin")).drop("begin")
 
 
-def _parts(rows: DataFrame, whole: int) -> DataFrame:
+def _places(rows: DataFrame, whole: int) -> DataFrame:
+    """Where each different turn goes: a row for each part with copies of it, those from ``a`` to before ``b``."""
+    levels = [TURN[:i] for i in range(1, len(TURN) + 1)]
+    sums = [rows.groupBy(TURN).agg(F.sum("size").alias("size"), F.first("size").alias("each"))]
+    for keys in reversed(levels[1:-1]):
+        sums.insert(0, sums[0].groupBy(keys).agg(F.sum("size").alias("size")))
+    at = None
+    for keys, own, total in zip(levels, TURN[1:], sums, strict=False):
+        at = _starts(total, keys, [own], at)
+    at = at.withColumn("part", F.explode(F.sequence(F.expr(f"at div {whole}"), F.expr(f"(at + size - each) div {whole}"))))
+    a = F.expr(f"greatest(0L, (part * {whole} - at + each - 1) div each)")
+    b = F.expr(f"least(size div each, ((part + 1) * {whole} - at + each - 1) div each)")
+    return at.withColumns({"a": a, "b": b}).where("a < b").drop("size")
+
+
+def _parts(rows: DataFrame, places: DataFrame) -> DataFrame:
     """conv, part, conv_id and turns: (role, text, at) in order."""
-    levels = [["conv"], ["conv", "range"], ["conv", "range", "number"], ["conv", "range", "number", "digits"]]
-    total = F.sum("size").alias("size")
-    by_digits = rows.groupBy(levels[3]).agg(total)
-    by_number = by_digits.groupBy(levels[2]).agg(total)
-    at = _starts(by_number.groupBy(levels[1]).agg(total), levels[0], ["range"])
-    at = _starts(by_number, levels[1], ["number"], at)
-    at = _starts(by_digits, levels[2], ["digits"], at)
-    one = "size AS each", "count AS copies", "size * count AS size"
-    said = rows.groupBy(*levels[3], "conv_id", "tie", "role", "text", "size").count().selectExpr(*levels[3], "conv_id", "tie", "role", "text", *one)
-    said = _starts(said, levels[3], ["tie", "role", "text"], at)
-    # the copies of a turn that each part has
-    first, last = F.expr(f"at div {whole}"), F.expr(f"(at + size - each) div {whole}")
-    said = said.withColumn("part", F.explode(F.sequence(first, last)))
-    said = said.withColumn("a", F.expr(f"greatest(0L, (part * {whole} - at + each - 1) div each)"))
-    said = said.withColumn("b", F.expr(f"least(copies, ((part + 1) * {whole} - at + each - 1) div each)")).where("a < b")
+    said = rows.groupBy(TURN).agg(*(F.first(c).alias(c) for c in ("conv_id", "role", "text"))).join(places, TURN)
     turn = F.struct("number", "tie", "role", "text", "at", "each", "a", "b")
     parts = said.groupBy("conv", "part").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(turn)).alias("turns"))
     copies = lambda t: F.transform(
@@ -94,10 +98,12 @@ def rotate(turns: DataFrame, whole: int = WHOLE) -> DataFrame:
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     )
     signs = F.length("text") + F.length(_name(F.col("role"))) + len(START) + len(END) + 2
-    rows = rows.withColumns({"range": F.shiftright("number", RANGE), "tie": F.md5(F.concat_ws("\n", "role", "text")), "size": signs.cast("long")})
+    rows = rows.withColumns({"range": F.shiftright("number", RANGE), "tie": F.sha2(F.concat_ws("\n", "role", "text"), 256), "size": signs.cast("long")})
     rows = rows.withColumn("digits", F.substring("tie", 1, DIGITS))
     speakers = rows.where(F.col("role") != SYSTEM).select("conv", F.col("role").alias("perspective")).distinct()
-    seen = _parts(rows, whole).join(speakers, "conv")
+    places = _places(rows, whole)
+    # perspectives meet parts by their keys: texts are not dealt by dialogue
+    seen = _parts(rows, places).join(places.select("conv", "part").distinct().join(speakers, "conv"), ["conv", "part"])
     who = F.col("perspective")
     shown = F.transform("turns", lambda t: F.concat(
         F.lit(START), F.when(t["role"] == who, F.lit("assistant")).otherwise(_name(t["role"])), F.lit("\n"), t["text"], F.lit(END + "\n")
@@ -122,7 +128,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH q AS (SELECT conv_id, turn, replace(replace(replace(replace(coalesce(role, 'unknown'), '\', '\\'), chr(13), '\r'), chr(10), '\n'), '<|', '<\|') AS role,
                   replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
-z AS (SELECT *, md5(role || chr(10) || text) AS tie, length(text) + 24 + CASE WHEN role = 'system' THEN 6 ELSE 10 + length(role) END AS size FROM q),
+z AS (SELECT *, sha256(role || chr(10) || text) AS tie, length(text) + 24 + CASE WHEN role = 'system' THEN 6 ELSE 10 + length(role) END AS size FROM q),
 r AS (SELECT *, CAST(sum(size) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tie, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before FROM z),
 s AS (SELECT DISTINCT conv_id AS conv, role AS perspective FROM r WHERE role <> 'system'),
 t AS (SELECT r.*, before // 1048576 AS part, s.perspective,

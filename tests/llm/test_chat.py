@@ -13,7 +13,7 @@ def brute(rows, whole):
     for conv, turn, role, text in rows:
         role = ("unknown" if role is None else role).replace("\\", "\\\\").replace("\r", "\\r").replace("\n", "\\n").replace("<|", "<\\|")
         text = (text or "").replace("<|", "< |")
-        groups[conv].append((turn is not None, turn or 0, hashlib.md5(f"{role}\n{text}".encode()).hexdigest(), role, text))
+        groups[conv].append((turn is not None, turn or 0, hashlib.sha256(f"{role}\n{text}".encode()).hexdigest(), role, text))
         if role != "system":
             speakers[conv].add(role)
     out = []
