@@ -87,3 +87,38 @@ def test_ranges_are_even_whatever_the_ids(spark, monkeypatch):
     for r in fp.with_next(docs, 100).select("kept").collect():
         ranges[r.kept[0]] = ranges.get(r.kept[0], 0) + 1
     assert len(ranges) >= 15 and max(ranges.values()) < 200
+
+
+def test_heavy_and_null_ids_are_split(spark, monkeypatch):
+    monkeypatch.setattr(fp, "ROWS", 20)
+    monkeypatch.setattr(fp, "TURN", 16)
+    rng = random.Random(12)
+    some = lambda: " ".join(f"w{rng.randrange(90)}" for _ in range(rng.randint(0, 40)))
+    rows = [(i, some()) for i in range(300)]
+    rows += [(77, some()) for _ in range(200)] + [(77, "one text for many rows, of more than five words")] * 150
+    rows += [(None, some()) for _ in range(100)] + [(None, None)] * 60 + [((1 << 63) - 1, some()) for _ in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS copies", "2 AS heavy_id", "3 AS parts")
+    sign = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, sign(r[1]), r[1]), reverse=True)
+    want = []
+    for at, (i, t) in enumerate(order):
+        after = order[(at + 1) % len(order)][1]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), like(t, edited), like(t, after)))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in fp.compare(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    dealt, split = fp._dealt(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 20)
+    assert split
+    assert max(r["count"] for r in dealt.groupBy("range_no").count().collect()) <= 45  # two ranges and a bit, where one id has 350 rows
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "short one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in fp.compare(docs).collect()}
+    assert got[2].near_next > 0.99 and got[1].near_next < 0.01
+    assert got[1].n_chars == len(long)
+    assert got[2].near_edited > 0.3
