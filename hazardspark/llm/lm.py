@@ -28,6 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hazardspark.llm import blocks
 from hazardspark.llm.common import table
@@ -177,4 +178,36 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    """Scores to six decimals: sums of doubles depend on their order beyond that."""
+    rows = score(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_tokens", F.round("score", 6).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+
+
+# The n-grams as texts: o1, o2, o3 count what other documents have of the word, pair and
+# triple that end at a place; the contexts of a pair and a triple end one place before.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+w AS (SELECT r, generate_subscripts(words, 1) AS i, unnest(words) AS c FROM d),
+g AS (SELECT r, i, c, lag(c, 1) OVER here AS b, lag(c, 2) OVER here AS a FROM w WINDOW here AS (PARTITION BY r ORDER BY i)),
+o AS (
+  SELECT r, i,
+         count(*) OVER () - count(*) OVER (PARTITION BY r) AS o0,
+         count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY r, c) AS o1,
+         CASE WHEN i >= 2 THEN count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY r, b, c) ELSE 0 END AS o2,
+         CASE WHEN i >= 3 THEN count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY r, a, b, c) ELSE 0 END AS o3
+  FROM g),
+l AS (SELECT *, lag(o1) OVER here AS p1, lag(o2) OVER here AS p2 FROM o WINDOW here AS (PARTITION BY r ORDER BY i)),
+s AS (
+  SELECT r, CASE WHEN o3 > 0 THEN ln(o3 / p2)
+                 WHEN o2 > 0 THEN (least(i, 3) - 2) * ln(0.4) + ln(o2 / p1)
+                 WHEN o1 > 0 THEN (least(i, 3) - 1) * ln(0.4) + ln(o1 / o0)
+                 ELSE 3 * ln(0.4) - ln(o0 + 1) END AS x
+  FROM l),
+t AS (SELECT r, sum(x) AS x FROM s GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_tokens, round(coalesce(x, 0), 6) AS score,
+       CASE WHEN len(words) > 0 THEN round(x / len(words), 6) END AS mean_score
+FROM d LEFT JOIN t USING (r)
+"""

@@ -28,6 +28,44 @@ def test_replacing_the_smallest_beats_greedy():
     assert bins[0] == bins[2] == bins[3] != bins[1]
 
 
+def plain_two_fit(lengths, limit):
+    """Sizes of each bin, by trying every piece and every pair."""
+    left, out = sorted(lengths, reverse=True), []
+
+    def greedy(held, gap):
+        while (fits := [x for x in left if x <= gap]):
+            held.append(fits[0])
+            left.remove(fits[0])
+            gap -= fits[0]
+        return gap
+
+    while left:
+        held = []
+        gap = greedy(held, limit)
+        if gap and len(held) > 1:
+            room = gap + held[-1]
+            pairs = [(a, b) for i, b in enumerate(left) for a in left[i + 1 :] if held[-1] < a + b <= room]
+            if pairs:
+                a, b = min(pairs, key=lambda p: (-sum(p), p[0]))
+                left.append(held.pop())
+                left.remove(a)
+                left.remove(b)
+                left.sort(reverse=True)
+                held += [a, b]
+                greedy(held, room - a - b)
+        out.append(sorted(held))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_bins_are_those_of_the_plain_form(seed):
+    rng = np.random.default_rng(seed)
+    limit = int(rng.integers(5, 60))
+    lengths = np.minimum(rng.geometric(rng.choice([0.03, 0.1, 0.3]), int(rng.integers(1, 70))), limit)
+    bins, _ = packing.two_fit(lengths, limit)
+    assert [sorted(lengths[bins == b].tolist()) for b in range(bins.max() + 1)] == plain_two_fit(lengths.tolist(), limit)
+
+
 def test_ids_are_those_of_the_library(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = ["", None, "Ab, cd  é\n\tÉ don't 123 <|endoftext|> x<|startoftext|>y", " x　y z\x1cq\x85", "é ́a", "word " * 5000, "x" * 3000, "İstanbul ΑΣ σ", "🙂 a🙂b", "twice", "twice"]
