@@ -1,3 +1,6 @@
+import cProfile
+import json
+import pstats
 import random
 import zlib
 
@@ -112,3 +115,70 @@ def test_equal_rows_are_dealt_over_groups(spark):
         held.setdefault(r.g, []).append(r.sequence_id)
     assert len(got) == 4000 and len(held) == 8 and max(map(len, held.values())) < 700
     assert len({r.sequence_id for r in got}) <= 200 + 8
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def same_as_library(encoder, vocabulary, texts):
+    library = Tokenizer.from_str(vocabulary)
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_plain_words_cost_no_call_each(vocabulary):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdefghé", k=7)) for _ in range(50)) for _ in range(400)]
+    encoder, profile = packing.Encoder(vocabulary), cProfile.Profile()
+    profile.runcall(encoder.encode, texts)
+    assert pstats.Stats(profile).total_calls < 50 * len(texts) / 4
+    same_as_library(encoder, vocabulary, texts[:20])
+
+
+@pytest.mark.parametrize("remembered", [30, 300_000])
+def test_units_are_cut_as_the_library_does(vocabulary, monkeypatch, remembered):
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)
+    rng = random.Random(4)
+    encoder = packing.Encoder(vocabulary)
+    same_as_library(encoder, vocabulary, ["", "it's 'st 'llama x''s ''re'd 5't't5 a' 'S", "'", "\n \n", "", "<|endoftext|> a<|b <| |", "½²ª1x"])
+    for alphabet in (list("abdstmrevl''' 1,\nSTLé"), [*map(chr, range(300)), *" " * 40]):
+        for _ in range(15):
+            same_as_library(encoder, vocabulary, ["".join(rng.choices(alphabet, k=rng.randint(0, 150))) for _ in range(rng.randint(1, 30))])
+    assert encoder.encode([]) == []
+
+
+def test_remembered_units_are_bounded(vocabulary, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 1000)
+    rng = random.Random(5)
+    encoder = packing.Encoder(vocabulary)
+    for _ in range(10):
+        texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(500))]
+        same_as_library(encoder, vocabulary, texts)
+        assert len(encoder.units) == len(encoder.sizes) <= 1000
+        assert len(encoder.ids) == encoder.sizes.sum()
+
+
+def test_a_long_text_goes_in_stretches(vocabulary, monkeypatch):
+    text = "Some words, wïth 日本 in them.\nIt's " * 40 + "x" * 200
+    monkeypatch.setattr(packing, "STRETCH", 100)
+    assert "".join(packing._stretches(text)) == text and max(map(len, packing._stretches(text))) < 400
+    same_as_library(packing.Encoder(vocabulary), vocabulary, [text])
+
+
+def test_vocabularies_of_other_units_are_refused(vocabulary):
+    content = json.loads(vocabulary)
+    content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[^ ]+"
+    with pytest.raises(ValueError):
+        packing.Encoder(json.dumps(content))
+
+
+def test_remembered_words_of_the_library_are_bounded(vocabulary, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 3000)
+    rng = random.Random(6)
+    encoder = packing.Encoder(vocabulary)
+    for _ in range(12):
+        same_as_library(encoder, vocabulary, ["".join(rng.choices("日本語文字", k=900))])
+        assert sum(map(len, encoder.others)) == encoder.held <= 3000 + 900
