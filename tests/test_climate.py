@@ -1,8 +1,10 @@
 """Station files, municipalities, fallback and climate known before a month."""
 
+import io
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,42 @@ def test_normals(spark):
     r = climate.normals(months, ["estacao", "uf"]).first()
     assert (r.chuva_normal_mm, r.anos_na_normal) == (150.0, 2)
     assert climate.normals(months.where(F.col("ano") > 2010), ["estacao", "uf"]).isEmpty()
+
+
+def test_usual_dates_as_any_other(spark):
+    """The cast for dates of the usual look gives what the form gives, and null for the look of the other form."""
+    odd = ["2020-02-29", "2021-02-29", "2020-2-3", "0000-01-01", "02020-01-05", "2020-01-05 x", "31-12-2020", "31-02-2020", "1-1-20", "2020-001-05", "20200-01-01", "2020-13-01", "x", "", None, "2020-01-05T00", "-2020-01-05", "+2020-1-1", "1-13-2020", "01-01-0000", "2020-01", "2020-01-05\u0085"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string")
+    for form in stations.FORMS:
+        got = rows.select("x", stations.date_of(F.col("x"), form).cast("string").alias("a"), F.try_to_date("x", form).cast("string").alias("b")).collect()
+        assert [(r.x, r.a) for r in got] == [(r.x, r.b) for r in got] and any(r.a for r in got)
+
+
+def test_a_file_is_worked_out_once(spark, tmp_path):
+    """No expression of a whole file is repeated for the values or lines that use it; what a bad file lacks needs no readings."""
+    (tmp_path / "a.csv").write_bytes(station().encode("latin-1"))
+    readings, failures = stations.split(stations.read(spark, str(tmp_path)))
+    plan = readings._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StringDecode.decode") == 1 and plan.count("split(line#") == 1 and plan.count("MapIn") == 1
+    plan = failures.select("motivo")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StringDecode.decode") == 1 and plan.index("Generate explode(body") < plan.rindex("Filter isnotnull(motivo")  # before any line is met
+
+
+def test_members_leave_together():
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for name in ("a.csv", "b.CSV", "c.txt", "d.csv"):
+            z.writestr(name, name * 3)
+    given = pa.RecordBatch.from_pydict({"path": ["y.zip", "n.zip", "e.csv"], "content": [held.getvalue(), b"no archive", b"e"]})
+    (got,) = stations._members(iter([given]))
+    assert got["arquivo"].to_pylist() == ["y.zip!a.csv", "y.zip!b.CSV", "y.zip!d.csv", "n.zip", "e.csv"]
+    assert got["content"].to_pylist() == [b"a.csv" * 3, b"b.CSV" * 3, b"d.csv" * 3, None, b"e"] and [m is None for m in got["motivo"].to_pylist()] == [True] * 3 + [False, True]
+
+
+def test_signs_of_the_western_code_page(spark, tmp_path):
+    """A dash of code page 1252; the same signs where the text is valid UTF-8; lines of all ends."""
+    (tmp_path / "a.csv").write_bytes(station("A – B").encode("cp1252"))
+    (tmp_path / "b.csv").write_bytes(station("C \u0096 É").encode("utf-8"))
+    (tmp_path / "c.csv").write_bytes(station("É").replace("\n", "\r").encode("latin-1"))
+    readings, _ = stations.split(stations.read(spark, str(tmp_path)))
+    assert {r.estacao: r["count"] for r in readings.groupBy("estacao").count().collect()} == {"A – B": 72, "C \u0096 É": 72, "É": 72}
