@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from hazardspark.functions import storage
 from hazardspark.functions.text import normalise
 from hazardspark.operators import climate, matching
 from hazardspark.sources import municipalities, stations
@@ -172,3 +173,16 @@ def test_signs_of_the_western_code_page(spark, tmp_path):
     (tmp_path / "c.csv").write_bytes(station("É").replace("\n", "\r").encode("latin-1"))
     readings, _ = stations.split(stations.read(spark, str(tmp_path)))
     assert {r.estacao: r["count"] for r in readings.groupBy("estacao").count().collect()} == {"A – B": 72, "C \u0096 É": 72, "É": 72}
+
+
+def test_files_put_by_tasks(spark, tmp_path):
+    """Files as they were given, each under its name and nothing else; loose files and archives are read from there together."""
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("z.csv", station("ZIPADA"))
+    files = {f"{i % 3}/{i}.CSV": station(f"S{i}").encode("latin-1") for i in range(7)} | {"y.ZIP": held.getvalue()}
+    folder = str(tmp_path / "put")
+    storage.put(spark.createDataFrame(list(files.items()), "path string, content binary").repartition(3), folder)
+    assert {str(p.relative_to(folder)): p.read_bytes() for p in (tmp_path / "put").rglob("*") if p.is_file()} == files
+    readings, failures = stations.split(stations.read(spark, folder))
+    assert failures.count() == 0 and {r.estacao: r["count"] for r in readings.groupBy("estacao").count().collect()} == {**{f"S{i}": 72 for i in range(7)}, "ZIPADA": 72}
