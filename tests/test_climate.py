@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import zipfile
 
 import pyarrow as pa
@@ -186,3 +187,13 @@ def test_files_put_by_tasks(spark, tmp_path):
     assert {str(p.relative_to(folder)): p.read_bytes() for p in (tmp_path / "put").rglob("*") if p.is_file()} == files
     readings, failures = stations.split(stations.read(spark, folder))
     assert failures.count() == 0 and {r.estacao: r["count"] for r in readings.groupBy("estacao").count().collect()} == {**{f"S{i}": 72 for i in range(7)}, "ZIPADA": 72}
+
+
+def test_bad_files_are_told_by_their_heads(spark, tmp_path):
+    """What lies below the head is taken apart only in files that are kept."""
+    (tmp_path / "a.csv").write_bytes(station().encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes(b"REGIAO:;SE\r\nUF:;\r\nESTACAO:;X\r\n" + b"x\r\n" * 20)
+    _, failures = stations.split(stations.read(spark, str(tmp_path)))
+    assert [(r.arquivo[-5:], r.motivo) for r in failures.collect()] == [("b.csv", "the header lacks uf")]
+    plan = failures.select("motivo")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"split\(text#\d+, [^,]*, (-?\d+)\)", plan[plan.rindex("Filter isnotnull(motivo") :]) == [str(stations.HEADER_LINES + 2)]
