@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hazardspark.functions import storage
 from hazardspark.functions.text import normalise
 from hazardspark.operators import climate, matching
+from hazardspark.plans import queries_files
 from hazardspark.sources import municipalities, stations
 
 OLD = "Data;Hora UTC;PRECIPITAÇÃO TOTAL, HORÁRIO (mm);TEMPERATURA DO AR - BULBO SECO, HORARIA (°C);UMIDADE RELATIVA DO AR, HORARIA (%);VENTO, RAJADA MAXIMA (m/s);"
@@ -197,3 +198,8 @@ def test_bad_files_are_told_by_their_heads(spark, tmp_path):
     assert [(r.arquivo[-5:], r.motivo) for r in failures.collect()] == [("b.csv", "the header lacks uf")]
     plan = failures.select("motivo")._jdf.queryExecution().optimizedPlan().toString()
     assert re.findall(r"split\(text#\d+, [^,]*, (-?\d+)\)", plan[plan.rindex("Filter isnotnull(motivo") :]) == [str(stations.HEADER_LINES + 2)]
+
+
+def test_only_lines_move_with_readings(spark):
+    """The station's name, state and code do not travel with each of its lines."""
+    assert queries_files._station_lines(spark, "/root/testdata/sf0.001").columns == ["k", "y", "line"]
